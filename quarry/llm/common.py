@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def batches_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -
     if n == 0:
         return
     arr = batch.column(batch.schema.get_field_index(column))
-    size = pa.compute.binary_length(arr).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.binary_length(arr).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
     lo = 0
     while lo < n:

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_histogram
+from . import exact_dedup, packing, quality, simhash_dedup, token_histogram
 from .common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.length_table(token_histogram.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -16,9 +25,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_pairs(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_pairs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE = {
