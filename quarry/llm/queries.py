@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, simhash_dedup, token_histogram
-from .common import table
+from . import exact_dedup, hmm, packing, quality, simhash_dedup, token_histogram, warc
+from .common import shared_path, staged, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return staged(warc.write_warc(pages, shared_path(spark, "warc")), "warc-index")
+
+
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_pairs(table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_warc": op7_warc,
+    "op8_hmm": op8_hmm,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
