@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, packing, quality, simhash_dedup, token_histogram, warc
+from . import exact_dedup, hmm, packing, quality, simhash_dedup, token_histogram, url_filter, warc
 from .common import shared_path, staged, table
 
 
@@ -21,6 +21,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_histogram.length_table(token_histogram.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.createDataFrame(url_filter.LIST, "pattern string, day string, action string")
+    return url_filter.judge(url_filter.captured(table(spark, sf_dir, "pages")), events)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_pairs(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
     "op8_hmm": op8_hmm,
@@ -49,6 +55,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_url_filter": url_filter.oracle(),
     "op6_exact_dedup": """
         SELECT d.doc_id AS doc_id, g.kept_id AS kept_id
         FROM documents d JOIN (SELECT text, min(doc_id) AS kept_id FROM documents WHERE text IS NOT NULL GROUP BY text) g ON d.text = g.text
