@@ -18,7 +18,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_histogram.length_table(token_histogram.length_histogram(table(spark, sf_dir, "documents")))
+    # written once: the histogram is read for the block totals and for the sums within blocks
+    return token_histogram.length_table(staged(token_histogram.length_histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
