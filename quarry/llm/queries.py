@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hmm, packing, quality, simhash_dedup, token_histogram, url_filter, warc
+from . import decontaminate, exact_dedup, hmm, packing, quality, simhash_dedup, token_histogram, url_filter, warc
 from .common import shared_path, staged, table
 
 
@@ -27,6 +27,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(url_filter.captured(table(spark, sf_dir, "pages")), events)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_pairs(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
     "op8_hmm": op8_hmm,
