@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, hmm, packing, quality, simhash_dedup, token_histogram, url_filter, warc
+from . import decontaminate, exact_dedup, hmm, packing, pii, quality, simhash_dedup, token_histogram, url_filter, warc
 from .common import shared_path, staged, table
 
 
@@ -44,6 +44,10 @@ def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_pairs(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
     "op8_hmm": op8_hmm,
+    "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
