@@ -65,6 +65,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """The named columns under new names, found by their exact spelling.
+
+    Works where other columns have the same name in another case, or again; the
+    first of several is taken.
+    """
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    d = df.toDF(*names)
+    return d.select(*(F.col(names[df.columns.index(name)]).alias(alias) for alias, name in columns.items()))
+
+
 def batches_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes; a single longer text stays whole."""
     n = batch.num_rows

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes
+from .common import batches_by_bytes, pick
 from .text import Words, mix, words
 
 EDITS = 0.2
@@ -230,7 +230,7 @@ def find(w: Words, items: Items, edits: float = EDITS) -> tuple[np.ndarray, np.n
 def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
     """Items in groups of bounded size, read partition by partition."""
     ids, texts, size = [], [], 0
-    for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct().toLocalIterator():
+    for r in pick(items, i=id_col, t=text_col).where("i is not null and t is not null").distinct().toLocalIterator():
         ids.append(r["i"])
         texts.append(r["t"])
         size += len(r["t"]) // 4 + 1
@@ -243,7 +243,7 @@ def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, distance): every item found in a document, with its least edit distance in words."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = pick(docs, doc_id=id_col, text=text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, distance bigint"
     found = None

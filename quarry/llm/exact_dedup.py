@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import digest, staged
+from .common import digest, pick, staged
 
 COUNTERS = 1024
 _FAN_IN = 64
@@ -71,7 +71,7 @@ def frequent_keys(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """(id, digest, kept, first) per row with text: kept = smallest id of its copies."""
-    rows = staged(docs.select(F.col(id_col).alias("_id"), digest(text_col).alias("_digest")).where("_digest is not null"), "digests")
+    rows = staged(pick(docs, _id=id_col, _text=text_col).select("_id", digest("_text").alias("_digest")).where("_digest is not null"), "digests")
     short = F.xxhash64("_digest")
     found = [r["key"] for r in frequent_keys(rows.select(short.alias("key")), counters).collect()]
     total = rows.count()

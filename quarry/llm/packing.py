@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, staged
+from .common import batches_by_bytes, pick, staged
 from .text import words
 
 DIMS = 3
@@ -104,7 +104,7 @@ def curve_keys(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(pack_id, pack_offset, doc_id, doc_offset, length, curve_key): the pieces of every sequence, in words."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = pick(docs, doc_id=id_col, text=text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
     dims = [f"x{k}" for k in range(DIMS)]
     v = staged(d.mapInArrow(_vectors, f"doc_id {kind}, {', '.join(f'{k} double' for k in dims)}, n bigint"), "vectors")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import pick, staged
 from .text import mix, words
 
 GENERALISE = 0.75
@@ -183,7 +183,7 @@ def _groups(frame: DataFrame, size: int) -> Iterator[list]:
 
 def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, ratio): terms (by hash) that reveal an entity more than ``generalise`` allows."""
-    d = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    d = pick(docs, text=text_col).where("text is not null")
     seen = staged(d.mapInArrow(_contexts, "entity bigint, term bigint, context bigint").distinct(), "contexts")
     total = d.count()
     known = seen.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -273,7 +273,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """(doc_id, text, n_entities, n_generalised, n_removed) of every row, sanitised."""
     pairs = staged(disclosures(docs, text_col, support, generalise), "disclosures")
     zero = F.lit(0).cast("int")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), zero.alias("n_entities"), zero.alias("n_generalised"), zero.alias("n_removed"))
+    d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", "text", zero.alias("n_entities"), zero.alias("n_generalised"), zero.alias("n_removed"))
     # terms first: they are found by the entities that the last step masks
     for rows in _groups(pairs.select("entity", "term", "ratio"), GROUP):
         d = d.mapInArrow(_rewriter(rows, remove), d.schema)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pick
+
 MAX_DOCS = 4000
 MAX_BYTES = 12 << 20
 DICTIONARY = 110 << 10
@@ -125,8 +127,8 @@ def fit_texts(good: list[bytes], bad: list[bytes]) -> Model | None:
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> dict[int, list[bytes]]:
     """Texts by class: the first labelled documents in hash order, within both bounds."""
-    sure = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_q"), F.max(label_col).alias("_r")).where("_id is not null and _q = _r and _q in (0, 1)")
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null and _t <> ''")
+    sure = pick(labels, _id=id_col, _l=label_col).groupBy("_id").agg(F.min("_l").alias("_q"), F.max("_l").alias("_r")).where("_id is not null and _q = _r and _q in (0, 1)")
+    d = pick(docs, _id=id_col, _t=text_col).where("_t is not null and _t <> ''")
     sized = d.select("_id", F.octet_length("_t").alias("_n")).join(sure, "_id").select("_id", "_n", "_q").distinct()
     ids: list[int] = []
     for q in (0, 1):
@@ -163,7 +165,7 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, keep) for every row."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = pick(docs, doc_id=id_col, text=text_col)
     if model is None:
         return d.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("keep"))
 

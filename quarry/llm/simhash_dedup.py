@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection with pigeonhole blocks.
 
 Each document gets a 128-bit fingerprint: the majority, bit by bit, over hashes
-of its distinct words.  Two fingerprints within ``MAX_DISTANCE`` = 17 bits
+of its words, a word used n times with 1 + floor(log2(n)) votes.  Two fingerprints within ``MAX_DISTANCE`` = 17 bits
 differ in at most two bits of one of six blocks (pigeonhole: six blocks with
 three or more each would make 18).  Two block values within two bits have a
 value within one bit of both, so every fingerprint is listed, block by block,
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, components, staged
+from .common import batches_by_bytes, components, pick, staged
 from .text import mix, words
 
 BITS = 128
@@ -68,7 +68,10 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # distinct words of each document: one sort of (document, 48 bits of the hash)
     key = (w.doc.astype(np.uint64) << np.uint64(48)) | (w.hash >> np.uint64(16))
     key.sort()
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    often = np.diff(np.append(at, len(key)))
+    # a word used n times has 1 + floor(log2(n)) votes
+    key = np.repeat(key[at], np.frexp(often)[1])
     d = (key >> np.uint64(48)).astype(np.int64)
     feature = mix(key & np.uint64((1 << 48) - 1))
     first = np.searchsorted(d, np.arange(n + 1))
@@ -106,7 +109,7 @@ def _fingerprint(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hi, lo): the two halves of each document's fingerprint; documents without words are left out."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    d = pick(docs, id=id_col, text=text_col)
     kind = d.schema["id"].dataType.simpleString()
     return d.mapInArrow(_fingerprint, f"id {kind}, hi bigint, lo bigint")
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pick
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split into pieces that this vocabulary was built with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,7 +53,7 @@ def _encode(path: str, pattern: str):
 
 def length_histogram(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, docs): documents by encoded length."""
-    part = docs.select(F.col(text_col).alias("t")).mapInArrow(_encode(path, pattern), "n_tokens bigint, docs bigint")
+    part = pick(docs, t=text_col).mapInArrow(_encode(path, pattern), "n_tokens bigint, docs bigint")
     return part.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 

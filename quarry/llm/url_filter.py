@@ -29,11 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pick
+
 
 def intervals(events: DataFrame) -> DataFrame:
     """(host, path, action, since, until) from (pattern, day, action); until is null for entries still active."""
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 0)
-    e = events.select(F.lower(F.trim("pattern")).alias("pattern"), F.col("day").cast("timestamp_ntz").alias("since"), rank.alias("rank"))
+    e = pick(events, pattern="pattern", day="day", action="action").select(F.lower(F.trim("pattern")).alias("pattern"), F.col("day").cast("timestamp_ntz").alias("since"), rank.alias("rank"))
     e = e.where("pattern <> '' and since is not null and rank is not null").groupBy("pattern", "since").agg(F.max("rank").alias("rank"))
     w = Window.partitionBy("pattern").orderBy("since")
     # repeated statements of what holds already don't cut the interval
@@ -62,7 +64,7 @@ def path_of(url: Column) -> Column:
 
 def judge(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """(page_id, url, fetched, action, entry) per capture: the deciding entry and "block", "allow" or, without one, "pass"."""
-    c = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp_ntz").alias("fetched"))
+    c = pick(captures, page_id=id_col, url=url_col, fetched=time_col).withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
     distinct = c.select("url", "fetched").where("url is not null and fetched is not null").distinct()
     parts = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))

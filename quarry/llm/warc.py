@@ -30,7 +30,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import pick
 
 MAGIC = 0x184D2A5D
 FILE_BYTES = 48 << 20
@@ -92,7 +93,7 @@ def read_record(data: bytes, offset: int, length: int) -> bytes:
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Lazily writes ``pages`` into ``folder``, a URI that every executor reaches; (page_id, url, file, offset, length, record_length, payload_digest)."""
-    d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(body_col).alias("html"))
+    d = pick(pages, page_id=id_col, url=url_col, html=body_col)
     uri = folder if "://" in folder else "file://" + folder if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
