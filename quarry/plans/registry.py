@@ -1,16 +1,18 @@
-"""Named queries and the SQL each must agree with."""
+"""Named queries over the tables of a folder, and the SQL each must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
             ORACLE[name] = sql
@@ -19,15 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("topk_count", """
-    SELECT o_custkey AS cust, n, rank FROM (
-        SELECT o_custkey, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey)::INT AS rank
-        FROM orders GROUP BY o_custkey)
-    WHERE rank <= 10
-""")
-def topk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    top = o.groupBy(F.col("o_custkey").alias("cust")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cust").limit(10)
-    from pyspark.sql import Window
-
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cust")))
+from . import basket_queries, cluster_queries, explore_queries, graph_queries, rating_queries, similarity_queries, stream_queries  # noqa: E402, F401
