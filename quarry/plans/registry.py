@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import basket_queries, cluster_queries, explore_queries, graph_queries, rating_queries, similarity_queries, stream_queries  # noqa: E402, F401
+from . import basket_queries, explore_queries, graph_queries, similarity_queries  # noqa: E402, F401
