@@ -110,10 +110,10 @@ def betweenness(edges: DataFrame) -> DataFrame:
     both = cut(both_ways(edges))
     sp = shortest_paths(edges)
     deepest = sp.agg(F.max("dist")).first()[0] or 0
-    up = sp.select("s", F.col("v").alias("u"), F.col("dist").alias("du"), F.col("paths").alias("pu"))
+    up = sp.select("s", F.col("v").alias("u"), F.col("dist").alias("above"), F.col("paths").alias("pu"))
     # edges of the shortest-path graph of each source, from u (nearer) to v
-    dag = sp.join(both, sp["v"] == both["dst"]).join(up, (sp["s"] == up["s"]) & (both["src"] == up["u"]) & (sp["dist"] == up["du"] + 1))
-    dag = cut(dag.select(sp["s"].alias("s"), F.col("u"), sp["v"].alias("v"), sp["dist"].alias("dist"), (F.col("pu") / sp["paths"]).alias("share")))
+    dag = sp.join(both.select(F.col("dst").alias("v"), F.col("src").alias("u")), "v").join(up, ["s", "u"]).where("dist = above + 1")
+    dag = cut(dag.select("s", "u", "v", "dist", (F.col("pu") / F.col("paths")).alias("share")))
     credit = None
     flows = None
     for d in range(deepest, 0, -1):
