@@ -143,15 +143,91 @@ def modularity(parts: DataFrame, edges: DataFrame, original: DataFrame) -> DataF
     return inside.crossJoin(total).crossJoin(m).select((2.0 * F.col("inside") / two_m - F.col("dd") / (two_m * two_m)).alias("modularity"))
 
 
-def girvan_newman(edges: DataFrame, max_rounds: int = 1000, adjacency: str = "original") -> tuple[DataFrame, float]:
-    """(id, root) of the best partition, and its modularity.
+#: Graphs of at most so many nodes are split in one task, by dense matrices of that order.
+DENSE_NODES = 2000
+
+
+def dense_betweenness(adjacent):
+    """Matrix of edge betweenness of a 0/1 adjacency matrix: all sources at once, level by level."""
+    import numpy as np
+
+    n = len(adjacent)
+    dist, paths, front, level = np.where(np.eye(n, dtype=bool), 0, -1), np.eye(n), np.eye(n), 0
+    while True:
+        front = (front @ adjacent) * (dist < 0)
+        if not front.any():
+            break
+        level += 1
+        dist[front > 0] = level
+        paths += front
+    credit, total = np.zeros((n, n)), np.zeros((n, n))
+    for d in range(level, 0, -1):
+        share = np.where(dist == d, (1 + credit) / np.maximum(paths, 1), 0)
+        near = np.where(dist == d - 1, paths, 0)
+        total += near.T @ share
+        credit += near * (share @ adjacent)
+    return (total + total.T) * adjacent / 2
+
+
+def _dense_components(adjacent):
+    """For each node the smallest index it is connected to."""
+    import numpy as np
+
+    root = np.arange(len(adjacent))
+    while True:
+        new = np.minimum(root, np.where(adjacent > 0, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _dense_girvan_newman(ids, a, b, max_rounds: int, adjacency: str):
+    """(root of each id, modularity) of the best partition."""
+    import numpy as np
+
+    n = len(ids)
+    start = np.zeros((n, n))
+    start[a, b] = start[b, a] = 1
+    rest, two_m, degree = start.copy(), start.sum(), start.sum(axis=1)
+    best, score = np.arange(n), float("-inf")
+    for _ in range(max_rounds):
+        root = _dense_components(rest)
+        total = np.bincount(root, weights=degree, minlength=n)
+        inside = ((start if adjacency == "original" else rest) * (root[:, None] == root[None, :])).sum()
+        q = inside / two_m - (total**2).sum() / two_m**2
+        if q > score + 1e-12:
+            best, score = root, q
+        between = np.round(dense_betweenness(rest), 9)
+        rest = rest * (between < between.max())
+        if not rest.any():
+            break
+    return ids[best], score
+
+
+def girvan_newman(edges: DataFrame, max_rounds: int = 1000, adjacency: str = "original") -> DataFrame:
+    """(id, root, modularity): the best partition, and its modularity in every row.
 
     Each round scores the components, then removes every edge of the highest
     betweenness, until no edge is left.  The first of equally good partitions
-    stays.
+    stays.  Rounds depend on one another, so a graph of up to ``DENSE_NODES``
+    nodes is split in one task; a larger one in rounds of distributed jobs.
     """
     original = cut(edges.select("a", "b"))
     ids = cut(nodes(original))
+    if ids.count() <= DENSE_NODES:
+        kind = original.schema["a"].dataType.simpleString()
+
+        def split(pdf):
+            import numpy as np
+            import pandas as pd
+
+            names, at = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+            at = at.reshape(-1, 2)
+            root, q = _dense_girvan_newman(names, at[:, 0], at[:, 1], max_rounds, adjacency)
+            return pd.DataFrame({"id": names, "root": root, "modularity": q})
+
+        return original.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(split, f"id {kind}, root {kind}, modularity double")
     rest, best, score = original, None, float("-inf")
     for _ in range(max_rounds):
         parts = components(rest, ids)
@@ -165,7 +241,8 @@ def girvan_newman(edges: DataFrame, max_rounds: int = 1000, adjacency: str = "or
         rest = cut(b.where(F.col("r") < top).select("a", "b"))
         if rest.isEmpty():
             break
-    return (best if best is not None else ids.select("id", F.col("id").alias("root"))), score
+    best = best if best is not None else ids.select("id", F.col("id").alias("root"))
+    return best.select("id", "root", F.lit(score).alias("modularity"))
 
 
 def ranked(edges: DataFrame) -> DataFrame:

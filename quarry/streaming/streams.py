@@ -28,8 +28,9 @@ def source(spark: SparkSession, path: str, schema: StructType, per_trigger: int
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream with a proper event time."""
-    path = f"{sf_dir}/events.parquet"
-    return source(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # as a pattern: a plain path to a stream source must be a folder
+    return source(spark, f"{sf_dir}/event[s].parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(result: DataFrame, mode: str, label: str) -> DataFrame:
@@ -43,7 +44,7 @@ def drain(result: DataFrame, mode: str, label: str) -> DataFrame:
 
     q = result.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+    return spark.read.schema(result.schema).parquet(out).select(*result.columns)
 
 
 def tumbling(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
