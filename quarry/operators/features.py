@@ -85,13 +85,40 @@ def drop_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.drop(*columns)
 
 
+def numbered(rows: DataFrame, order: list, into: str) -> tuple[DataFrame, int]:
+    """Adds ``into``, the row number from 1 on in the given order, and tells how many rows there are.
+
+    Rows are sorted by range and numbered within their partition, then moved on
+    by the sizes of the partitions before; no task sees all rows.
+    """
+    from .graph import cut
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    # written once: partition numbers belong to one execution
+    d = cut(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in d.groupBy("_part").count().collect())
+    before, base = 0, []
+    for part, size in sizes:
+        base.append((part, before))
+        before += size
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(base, "_part int, _base bigint"))  # a row a partition
+    d = d.join(offsets, "_part").withColumn(into, F.col("_base") + F.row_number().over(inside))
+    return d.select(*rows.columns, into), before
+
+
 def dense_index(rows: DataFrame, key: str) -> DataFrame:
     """(key, index): distinct keys numbered from 0 in key order."""
-    return rows.select(key).distinct().withColumn("index", F.row_number().over(Window.orderBy(key)) - 1)
+    d, _ = numbered(rows.select(key).distinct(), [key], "index")
+    return d.withColumn("index", (F.col("index") - 1).cast("int"))
 
 
 def equal_splits(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """Adds split (1..n) of equal sizes, in the order of a hash of the key."""
+    """Adds split (1..n) of equal sizes, the first ones a row larger, in the order of a hash of the key."""
     from ..functions.scalar import text_key
 
-    return rows.withColumn("split", F.ntile(n).over(Window.orderBy(text_key(F.col(key).cast("string")), key)))
+    d, total = numbered(rows.withColumn("_hash", text_key(F.col(key).cast("string"))), ["_hash", key], "_row")
+    small, larger = divmod(total, n)
+    at, head = F.col("_row") - 1, larger * (small + 1)
+    split = F.when(at < head, F.floor(at / F.lit(small + 1))).otherwise(F.lit(larger) + F.floor((at - head) / F.lit(max(small, 1))))
+    return d.withColumn("split", (split + 1).cast("int")).drop("_hash", "_row")

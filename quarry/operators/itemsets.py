@@ -87,7 +87,7 @@ def fp_growth(pairs: DataFrame, support: int) -> DataFrame:
 
     sets = pairs.groupBy("basket").agg(F.collect_set("item").alias("items"))
     total = sets.count()
-    if total == 0:
+    if total < support:
         return pairs.sparkSession.createDataFrame([], "size int, items array<string>, n bigint")
     # half a basket below the bound: the library rounds share x total up
     model = FPGrowth(itemsCol="items", minSupport=max(support - 0.5, 0.1) / total).fit(sets)

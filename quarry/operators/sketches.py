@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import trailing_zeros, universal_hash
+from ..functions.scalar import text_key, trailing_zeros, universal_hash
 
 
 def bloom_batches(stream: DataFrame, key: str, cells: int = 101, hashes: int = 2) -> DataFrame:
@@ -52,7 +52,8 @@ def distinct_sketch(stream: DataFrame, key: str) -> DataFrame:
 
 
 def _priority(seed: int) -> Column:
-    return universal_hash(F.col("seq"), seed, 1_000_000_007)
+    """A number below 2**32 drawn for each position; the linear family is too regular on consecutive numbers."""
+    return text_key(F.concat(F.col("seq").cast("string"), F.lit(f"-{seed}")))
 
 
 def reservoir(stream: DataFrame, key: str, size: int = 100, seed: int = 3) -> DataFrame:
@@ -68,7 +69,7 @@ def reservoir_snapshots(stream: DataFrame, key: str, size: int = 100, every: int
     likely.
     """
     slots = [0, size // 5, 2 * size // 5, 3 * size // 5, 4 * size // 5]
-    s = stream.select("seq", F.col(key).alias("key"), F.pmod(universal_hash(F.col("seq"), seed + 1, 1_000_000_007), F.lit(size)).alias("slot"), _priority(seed).alias("p"))
+    s = stream.select("seq", F.col(key).alias("key"), F.pmod(_priority(seed + 1), F.lit(size)).alias("slot"), _priority(seed).alias("p"))
     held = s.where(F.col("slot").isin(slots)).withColumn("snap", F.ceil(F.col("seq") / F.lit(every)) * every)
     best = held.groupBy("slot", "snap").agg(F.min(F.struct("p", "seq", "key")).alias("m"))
     last = stream.agg(F.floor(F.max("seq") / F.lit(every)).cast("bigint").alias("n"))

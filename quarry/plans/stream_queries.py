@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import universal_hash_sql
+from ..functions.scalar import text_key_sql, universal_hash_sql
 from ..operators import sketches as K
 from ..sources.catalog import Catalog, asks
 from ..streaming import streams as T
@@ -39,7 +39,7 @@ def distinct_sketch(spark, sf_dir):
     return K.distinct_sketch(stream(spark, sf_dir), "key")
 
 
-_P = universal_hash_sql("seq", 3, 1_000_000_007)
+_P = text_key_sql("seq::VARCHAR || '-3'")
 
 
 @query("reservoir", f"WITH {_SEQ} SELECT seq::BIGINT AS seq, key FROM st ORDER BY {_P}, seq LIMIT 100")
@@ -47,13 +47,13 @@ def reservoir(spark, sf_dir):
     return K.reservoir(stream(spark, sf_dir), "key")
 
 
-_SLOT = f"({universal_hash_sql('seq', 4, 1_000_000_007)} % 100)"
+_SLOT = f"({text_key_sql("seq::VARCHAR || '-4'")} % 100)"
 _SNAPS = ", ".join(f"max(key) FILTER (WHERE slot = {x}) AS s{x}" for x in (0, 20, 40, 60, 80))
 
 
 @query("reservoir_snapshots", f"""WITH {_SEQ}, h AS (SELECT seq, key, {_SLOT} AS slot, {_P} AS p FROM st), held AS (SELECT * FROM h WHERE slot IN (0, 20, 40, 60, 80)),
     ask AS (SELECT unnest(range(1, (SELECT count(*) // 100 FROM st) + 1)) * 100 AS snap),
-    w AS (SELECT snap, slot, arg_min(key, p) AS key FROM ask LEFT JOIN held ON seq <= snap GROUP BY snap, slot)
+    w AS (SELECT snap, slot, arg_min(key, p::HUGEINT * 4294967296 + seq) AS key FROM ask LEFT JOIN held ON seq <= snap GROUP BY snap, slot)
     SELECT snap::BIGINT AS seqnum, {_SNAPS} FROM w GROUP BY snap""")
 def reservoir_snapshots(spark, sf_dir):
     return K.reservoir_snapshots(stream(spark, sf_dir), "key")
