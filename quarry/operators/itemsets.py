@@ -56,24 +56,27 @@ def frequent_itemsets(pairs: DataFrame, support: int, max_size: int = 16) -> Dat
     has all its (k - 1)-subsets frequent, then counts baskets by growing each
     occurrence of the prefix.
     """
-    level = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support).select(F.array("item").alias("items"), "n")
-    kept = pairs.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").cache()
+    from .graph import cut
+
+    level = cut(pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support).select(F.array("item").alias("items"), "n"))
+    kept = cut(pairs.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi"))
     # occurrences: which baskets hold which frequent set
     found = kept.select("basket", F.array("item").alias("items"))
     out, size = level.select(F.lit(1).alias("size"), "items", "n"), 1
     while size < max_size:
         size += 1
-        a = level.select("items", F.slice("items", 1, size - 2).alias("prefix"), F.element_at("items", -1).alias("x"))
+        a = level.select(F.slice("items", 1, size - 2).alias("prefix"), F.col("items").alias("base"), F.element_at("items", -1).alias("x"))
         b = level.select(F.slice("items", 1, size - 2).alias("prefix"), F.element_at("items", -1).alias("y"))
-        cand = a.join(b, "prefix").where("x < y").select(F.col("items").alias("base"), "y", F.concat("items", F.array("y")).alias("items"))
+        cand = a.join(b, "prefix").where("x < y").select("base", "y", F.concat("base", F.array("y")).alias("grown"))
         if size > 2:
-            subsets = cand.select("items", F.posexplode("items").alias("i", "skip")).select("items", F.filter("items", lambda v, i: i != F.col("i")).alias("subset"))
-            whole = subsets.join(level.select(F.col("items").alias("subset")), "subset", "left_semi").groupBy("items").count().where(F.col("count") == size).select("items")
-            cand = cand.join(whole, "items", "left_semi")
-        grown = found.join(cand.select(F.col("base"), "y", F.col("items").alias("grown")), found["items"] == F.col("base"))
-        grown = grown.join(kept.select(F.col("basket").alias("bk"), F.col("item").alias("y2")), (F.col("basket") == F.col("bk")) & (F.col("y") == F.col("y2"))).select("basket", F.col("grown").alias("items"))
-        grown = grown.cache()
-        level = grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support).cache()
+            # all subsets of one item less must be frequent; the two that made the candidate are
+            subsets = cand.select("grown", F.explode(F.sequence(F.lit(0), F.lit(size - 3))).alias("skip")).select("grown", F.filter("grown", lambda v, i: i != F.col("skip")).alias("items"))
+            whole = subsets.join(level.select("items"), "items", "left_semi").groupBy("grown").count().where(F.col("count") == size - 2).select("grown")
+            cand = cand.join(whole, "grown", "left_semi")
+        # an occurrence grows by the later items of its basket, then candidates are picked out
+        more = found.join(kept.select("basket", F.col("item").alias("y")), "basket").where(F.col("y") > F.element_at("items", -1))
+        grown = cut(more.select("basket", F.concat("items", F.array("y")).alias("items")).join(cand.select(F.col("grown").alias("items")), "items", "left_semi"))
+        level = cut(grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         if level.isEmpty():
             break
         found = grown.join(level.select("items"), "items", "left_semi")
