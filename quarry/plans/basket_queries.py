@@ -11,15 +11,19 @@ BUCKETS = 97
 _PAIRS = "pairs AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _NUM = "pairs AS (SELECT DISTINCT l_orderkey AS basket, regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _SUPPORT = f"(SELECT ceil(count(DISTINCT basket) * {SHARE}) FROM pairs)"
+_MOST = 7  # an order has at most seven lines
+
+
+def _sets_sql(k: int) -> str:
+    """The frequent sets of ``k`` items, by joining the basket with itself."""
+    joins = "".join(f" JOIN ok t{i} ON t0.basket = t{i}.basket AND t{i - 1}.item < t{i}.item" for i in range(1, k))
+    items = [f"t{i}.item" for i in range(k)]
+    return f"SELECT {k} AS size, {" || ',' || ".join(items)} AS items, count(*) AS n FROM ok t0{joins} GROUP BY {', '.join(items)} HAVING count(*) >= {_SUPPORT}"
+
+
 _FREQUENT = f"""
-    WITH {_PAIRS}, ok AS (SELECT * FROM pairs WHERE item IN (SELECT item FROM pairs GROUP BY item HAVING count(*) >= {_SUPPORT})),
-    k1 AS (SELECT 1 AS size, item AS items, count(*) AS n FROM ok GROUP BY item),
-    k2 AS (SELECT 2, a.item || ',' || b.item, count(*) FROM ok a JOIN ok b ON a.basket = b.basket AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {_SUPPORT}),
-    k3 AS (SELECT 3, a.item || ',' || b.item || ',' || c.item, count(*) FROM ok a JOIN ok b ON a.basket = b.basket AND a.item < b.item
-           JOIN ok c ON a.basket = c.basket AND b.item < c.item GROUP BY a.item, b.item, c.item HAVING count(*) >= {_SUPPORT}),
-    k4 AS (SELECT 4, a.item || ',' || b.item || ',' || c.item || ',' || d.item, count(*) FROM ok a JOIN ok b ON a.basket = b.basket AND a.item < b.item
-           JOIN ok c ON a.basket = c.basket AND b.item < c.item JOIN ok d ON a.basket = d.basket AND c.item < d.item GROUP BY a.item, b.item, c.item, d.item HAVING count(*) >= {_SUPPORT})
-    SELECT size::INT AS size, items, n::BIGINT AS n FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4)
+    WITH {_PAIRS}, ok AS (SELECT * FROM pairs WHERE item IN (SELECT item FROM pairs GROUP BY item HAVING count(*) >= {_SUPPORT}))
+    SELECT size::INT AS size, items, n::BIGINT AS n FROM ({' UNION ALL '.join(_sets_sql(k) for k in range(1, _MOST + 1))})
 """
 
 
