@@ -65,6 +65,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists of at most so many rows are sent to every executor (some 50 MB there); longer ones are shuffled.
+MAP_SIDE_ROWS = 500_000
+
+
+def map_side(rows: DataFrame, limit: int = MAP_SIDE_ROWS) -> DataFrame:
+    """``rows``, to be broadcast in a join if they are counted to be few; else Spark chooses."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names, found by their exact spelling.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import digest, pick, staged
+from .common import digest, map_side, pick, staged
 
 COUNTERS = 1024
 _FAN_IN = 64
@@ -104,8 +104,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without rows that repeat another's text, all columns kept.
 
     Only ids and digests are grouped.  Texts move once at most, in the join that
-    drops the copies, and not at all where the list of copies is small enough
-    for Spark to broadcast.
+    drops the copies, and not at all where the counted list of copies is small
+    enough to broadcast (``common.MAP_SIDE_ROWS``).
     """
     k = staged(keepers(docs, id_col, text_col, counters), "keepers")
     drop = k.where(~F.col("_id").eqNullSafe(F.col("_kept"))).select("_id", "_digest").distinct()
@@ -116,7 +116,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     i, t = names[cols.index(id_col)], names[cols.index(text_col)]
     d = d.withColumn("_digest", digest(t))
     same = lambda r: (d["_digest"] == r["_digest"]) & d[i].eqNullSafe(r["_id"])
-    left = d.join(drop, same(drop), "left_anti")
+    left = d.join(map_side(drop), same(drop), "left_anti")
     if again.limit(1).count():
         same = (left["_digest"] == again["_digest"]) & left[i].eqNullSafe(again["_id"])
         one = left.join(again, same, "left_semi").dropDuplicates([i, "_digest"])

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, components, pick, staged
+from .common import batches_by_bytes, components, map_side, pick, staged
 from .text import mix, words
 
 BITS = 128
@@ -231,14 +231,14 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, all columns kept."""
+    """``docs`` with one row of each group, all columns kept; texts stay where they are while the counted list of copies is small enough to broadcast."""
     cols = docs.columns
     names = [f"_c{i}" for i in range(len(cols))]
     i, t = names[cols.index(id_col)], names[cols.index(text_col)]
     d = docs.toDF(*names)
     g = staged(near_groups(d, i, t), "groups")
     drop = g.where("id is null and kept is not null or id <> kept").select(F.col("id").alias("_id")).distinct()
-    left = d.join(drop, d[i].eqNullSafe(drop["_id"]), "left_anti")
+    left = d.join(map_side(drop), d[i].eqNullSafe(drop["_id"]), "left_anti")
     again = g.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"))
     if again.limit(1).count():
         same = left[i].eqNullSafe(again["_id"])
