@@ -74,12 +74,28 @@ def map_side(rows: DataFrame, limit: int = MAP_SIDE_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
+#: Most bytes of an Arrow batch on its way to Python; the JVM and the worker hold some copies of it each.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for Arrow batches to ``BATCH_BYTES``; a lower one stays.
+
+    By rows alone, a batch would grow with the texts in it.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names, found by their exact spelling.
 
     Works where other columns have the same name in another case, or again; the
-    first of several is taken.
+    first of several is taken.  Batches for Python are bounded from here on.
     """
+    bound_batches(df.sparkSession)
     names = [f"_c{i}" for i in range(len(df.columns))]
     d = df.toDF(*names)
     return d.select(*(F.col(names[df.columns.index(name)]).alias(alias) for alias, name in columns.items()))

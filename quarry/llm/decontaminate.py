@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, pick
+from .common import batches_by_bytes, bound_batches, pick
 from .text import Words, mix, words
 
 EDITS = 0.2
@@ -266,6 +266,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """``docs`` without rows that contain an item, in one pass a group of items, without a shuffle."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import bound_batches, pick
 
 MAX_DOCS = 4000
 MAX_BYTES = 12 << 20
@@ -183,6 +183,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
     """``docs`` without the rows that the model rejects, all columns kept."""
     if model is None:
         return docs
+    bound_batches(docs.sparkSession)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)
     at = docs.columns.index(text_col)
