@@ -2,7 +2,7 @@
 
 An item contaminates a document if some run of the document's words is within
 ``EDITS`` (a share of the item's length, rounded down) word insertions,
-deletions and replacements of the item.  The search runs in three steps.
+deletions and replacements of the item.  The search runs in four steps.
 
 1. Windows of the item's size are laid at every place where they can match.  An
    item of n words with at most e edits, cut into e + 1 parts, keeps one part
@@ -13,10 +13,14 @@ deletions and replacements of the item.  The search runs in three steps.
    the step and the word under it, the same function for all.  Words within edit
    distance k stay within Hamming distance O(k^2), mostly much nearer.  Each of
    ``REPEATS`` walks is sampled at ``SAMPLES`` places; windows that agree with an
-   item in all samples of some walk become candidates.  ``recall_target`` states
-   how many repeats the target recall takes.
-3. Candidates are verified by exact edit distance between the item and the best
-   matching run around the window.
+   item in all samples of some walk become candidates.  The share in which the
+   embeddings differ at the edit bound grows with the item's length and with the
+   shift of the window, so the repeats that ``recall_target`` states for ``DIFFER``
+   reach the target for short items only.
+3. Therefore every window is also a candidate for the items whose runs laid it.
+   By step 1 these hold all matches, whatever the length and kind of edits.
+4. Candidates are verified by exact edit distance between the item and the best
+   matching run around the window, which reaches as far as edits can shift it.
 
 Everything runs in one pass over the documents without a shuffle; the items are
 sent to the workers in groups of at most ``GROUP_WORDS`` words, one pass a group,
@@ -50,7 +54,7 @@ from .text import Words, mix, words
 EDITS = 0.2
 RECALL = 0.95
 SAMPLES = 3
-#: Share of the embedding in which strings at the edit bound differ.
+#: Share of the embedding in which short strings at the edit bound differ.
 DIFFER = 0.44
 
 
@@ -182,7 +186,7 @@ def edit_distances(items: Items, item: np.ndarray, text: np.ndarray, lo: np.ndar
 def find(w: Words, items: Items, edits: float = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, distance) of all contaminations in a batch of documents."""
     doc = w.doc
-    place, size = [], []
+    place, size, owner = [], [], []
     for length, (h, item, offset) in items.seeds.items():
         run = _runs(w.hash, length)
         if not len(run):
@@ -198,14 +202,15 @@ def find(w: Words, items: Items, edits: float = EDITS) -> tuple[np.ndarray, np.n
         begin = np.clip(at - offset[b], w.first[doc[at]], w.first[doc[at] + 1] - 1)
         place.append(begin)
         size.append(n)
+        owner.append(item[b])
     z = np.zeros(0, np.int64)
     if not place:
         return z, z, z
-    place, size = np.concatenate(place), np.concatenate(size)
+    place, size, owner = np.concatenate(place), np.concatenate(size), np.concatenate(owner)
+    got: list[np.ndarray] = [np.stack([place, owner], axis=1)] if len(place) else []
     if len(place):
         both = np.unique(np.stack([size, place], axis=1), axis=0)
         size, place = both[:, 0], both[:, 1]
-    got: list[np.ndarray] = []
     for n in np.unique(size):
         begin = place[size == n]
         stop = np.minimum(begin + n, w.first[doc[begin] + 1])
@@ -216,7 +221,7 @@ def find(w: Words, items: Items, edits: float = EDITS) -> tuple[np.ndarray, np.n
             got.append(np.unique(np.stack([begin[a % len(begin)], item[b]], axis=1), axis=0))
     if not got:
         return z, z, z
-    begin, item = np.concatenate(got).T
+    begin, item = np.unique(np.concatenate(got), axis=0).T
     n = items.size[item]
     allowed = edits_allowed(n, edits)
     d = doc[begin]

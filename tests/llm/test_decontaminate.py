@@ -97,3 +97,26 @@ def test_decontamination_odd(spark, odd, empty):
     assert kept.columns == odd.columns and {r[0] for r in kept.collect()} == {3, None, 4, 5, 7}
     assert D.contaminated(empty, items).count() == 0 and D.contaminated(odd, items.where("false")).count() == 0
     assert D.drop_contaminated(odd, items.where("false")).count() == odd.count()
+
+
+def test_recall_at_the_full_bound_by_length_and_kind_of_edit():
+    """Exactly as many edits as allowed, of one kind or mixed, spread over the passage: all are found."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n in (12, 59, 100, 200):
+        items = [" ".join(r.choice(vocabulary) for _ in range(n)) for _ in range(12)]
+        built = D.build_items(list(range(len(items))), items)
+        for kind in ("replace", "insert", "delete", "mixed"):
+            docs = []
+            for t in items:
+                out, places = [], set(r.sample(range(n), n // 5))
+                for i, x in enumerate(t.split()):
+                    k = r.choice(["replace", "insert", "delete"]) if kind == "mixed" else kind
+                    if i not in places:
+                        out.append(x)
+                    elif k != "delete":
+                        out += [r.choice(vocabulary)] + [x] * (k == "insert")
+                docs.append(" ".join([r.choice(vocabulary) for _ in range(40)] + out + [r.choice(vocabulary) for _ in range(40)]))
+            d, i, e = D.find(words(pa.array(docs, pa.large_string())), built)
+            assert {(a, a) for a in range(len(items))} <= set(zip(d.tolist(), i.tolist())), (n, kind)
+            assert (e <= n // 5).all()
