@@ -182,7 +182,7 @@ def _dense_components(adjacent):
         root = new
 
 
-def _dense_girvan_newman(ids, a, b, max_rounds: int, adjacency: str):
+def _dense_girvan_newman(ids, a, b, max_rounds: int | None, adjacency: str):
     """(root of each id, modularity) of the best partition."""
     import numpy as np
 
@@ -191,25 +191,37 @@ def _dense_girvan_newman(ids, a, b, max_rounds: int, adjacency: str):
     start[a, b] = start[b, a] = 1
     rest, two_m, degree = start.copy(), start.sum(), start.sum(axis=1)
     best, score = np.arange(n), float("-inf")
-    for _ in range(max_rounds):
-        root = _dense_components(rest)
+    root, between, rounds = np.zeros(n, int), np.zeros((n, n)), 0
+    changed = np.ones(n, bool)
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
+        # components that lost no edge keep their parts and their betweenness
+        at = np.flatnonzero(changed)
+        part = rest[np.ix_(at, at)]
+        root[at] = at[_dense_components(part)]
         total = np.bincount(root, weights=degree, minlength=n)
         inside = ((start if adjacency == "original" else rest) * (root[:, None] == root[None, :])).sum()
         q = inside / two_m - (total**2).sum() / two_m**2
         if q > score + 1e-12:
-            best, score = root, q
-        between = np.round(dense_betweenness(rest), 9)
-        rest = rest * (between < between.max())
+            best, score = root.copy(), q
+        between[np.ix_(at, at)] = 0
+        for r in np.unique(root[at]):
+            own = np.flatnonzero(root == r)
+            if len(own) > 1:
+                between[np.ix_(own, own)] = np.round(dense_betweenness(rest[np.ix_(own, own)]), 9)
+        top = (rest > 0) & (between >= between.max())
+        rest[top] = 0
         if not rest.any():
             break
+        changed = np.isin(root, root[top.any(axis=1)])
     return ids[best], score
 
 
-def girvan_newman(edges: DataFrame, max_rounds: int = 1000, adjacency: str = "original") -> DataFrame:
+def girvan_newman(edges: DataFrame, max_rounds: int | None = None, adjacency: str = "original") -> DataFrame:
     """(id, root, modularity): the best partition, and its modularity in every row.
 
     Each round scores the components, then removes every edge of the highest
-    betweenness, until no edge is left.  The first of equally good partitions
+    betweenness, until no edge is left (or ``max_rounds`` are over, if given).  The first of equally good partitions
     stays.  Rounds depend on one another, so a graph of up to ``DENSE_NODES``
     nodes is split in one task; a larger one in rounds of distributed jobs.
     """
@@ -229,7 +241,9 @@ def girvan_newman(edges: DataFrame, max_rounds: int = 1000, adjacency: str = "or
 
         return original.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(split, f"id {kind}, root {kind}, modularity double")
     rest, best, score = original, None, float("-inf")
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         parts = components(rest, ids)
         q = modularity(parts, original if adjacency == "original" else rest, original).first()[0]
         if q is not None and q > score + 1e-12:

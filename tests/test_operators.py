@@ -248,3 +248,31 @@ def test_review_mart_defaults(spark):
     assert len(m.columns) == 26
     r = m.where("user_id = 'u'").first()
     assert (r.review_avg_stars, r.useful, r.usr_avg_stars, r.bus_avg_stars, r.usr_useful, r.num_attrs, r.likes, r.n_tips, r.num_img) == (None, 0, 3.5, 3.5, None, None, 0, 0, 0)
+
+
+def test_girvan_newman_splits_as_with_full_recomputation():
+    """Betweenness is only computed anew where an edge went; all rounds are made."""
+    r = np.random.default_rng(4)
+    a, b = np.nonzero(np.triu(r.random((24, 24)) < np.where(np.arange(24)[:, None] // 8 == np.arange(24) // 8, 0.6, 0.04), 1))
+    ids, at = np.unique(np.stack([a, b], 1), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    start = np.zeros((len(ids), len(ids)))
+    start[a, b] = start[b, a] = 1
+    rest, best, score = start.copy(), None, -np.inf
+    while rest.any():
+        root = graph._dense_components(rest)
+        q = (start * (root[:, None] == root)).sum() / start.sum() - (np.bincount(root, weights=start.sum(1)) ** 2).sum() / start.sum() ** 2
+        if q > score + 1e-12:
+            best, score = root, q
+        x = np.round(graph.dense_betweenness(rest), 9)
+        rest = rest * (x < x.max())
+    got, q = graph._dense_girvan_newman(ids, a, b, None, "original")
+    assert (got == ids[best]).all() and abs(q - score) < 1e-12 and score > 0.3
+
+
+def test_girvan_newman_covers_every_node(spark, sf):
+    import __spark_entry__
+
+    q = __spark_entry__.queries()
+    got = [r.id for r in q["girvan_newman"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r.id for r in q["nodes"](spark, sf).collect()}
