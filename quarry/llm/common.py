@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a single machine) a temporary
-    folder is made and set as the checkpoint folder.
+    A session on one machine (master ``local``) that names none gets a temporary
+    one; on a cluster, where executors couldn't reach it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
+        atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -49,9 +54,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table that is no longer needed."""
-    _remove(spark, path)
+def remove(df: DataFrame) -> None:
+    """Delete the files of a staged table that is no longer needed."""
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, f)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -65,15 +71,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Lists of at most so many rows are sent to every executor (some 50 MB there); longer ones are shuffled.
-MAP_SIDE_ROWS = 500_000
-
-
-def map_side(rows: DataFrame, limit: int = MAP_SIDE_ROWS) -> DataFrame:
-    """``rows``, to be broadcast in a join if they are counted to be few; else Spark chooses."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
-
-
 #: Most bytes of an Arrow batch on its way to Python; the JVM and the worker hold some copies of it each.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -117,11 +114,100 @@ def batches_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -
 
 
 def digest(col: Column | str) -> Column:
-    """A 16-byte content digest; null for null."""
-    return F.unhex(F.md5(F.col(col) if isinstance(col, str) else col))
+    """A 32-byte content digest (SHA-256); null for null."""
+    return F.unhex(F.sha2(F.col(col) if isinstance(col, str) else col, 256))
+
+
+#: Rows of a file that share one ``_key``; what a task reads about them at once is bounded by it.
+_SPAN = 1 << 20
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns ``names`` in place of its own, and (_key, _row), which name one row each.
+
+    A row is named by its file and its place there, which stay the same however
+    often and wherever the scan is repeated.  What isn't the plain scan of files is
+    written first.
+    """
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    d = df.toDF(*names)
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        d = staged(d, "rows")
+    row = F.col("_metadata.row_index")
+    return d.select(*names, F.xxhash64("_metadata.file_path", F.floor(row / _SPAN)).alias("_key"), row.alias("_row")), names
+
+
+def write_notes(notes: DataFrame, label: str) -> tuple[str, int]:
+    """Writes rows with (_key, _row) so that a task that scans a file finds those about it; path and number of buckets."""
+    spark = notes.sparkSession
+    path, n = shared_path(spark, label), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = ["_bucket", "_key", "_row"]
+    sorted_notes = notes.withColumn("_bucket", F.pmod("_key", F.lit(n)).cast("int")).repartition(n, "_bucket").sortWithinPartitions(*by)
+    sorted_notes.write.option("parquet.block.size", 1 << 20).partitionBy("_bucket").parquet(path)
+    return path, n
+
+
+class Notes:
+    """Reads, in a task, what ``write_notes`` wrote about the rows at hand."""
+
+    def __init__(self, path: str, buckets: int):
+        from pyarrow import fs
+
+        self.buckets, self.key, self.table = buckets, None, None
+        self.system, self.root = fs.FileSystem.from_uri(uri(path))
+
+    def of(self, key: int) -> pa.Table | None:
+        """The notes about rows of ``key`` in order of ``_row``; the last ones are kept."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        if key != self.key:
+            folder = f"{self.root}/_bucket={key % self.buckets}"
+            there = [f.path for f in self.system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+            parts = [pq.read_table(f, filesystem=self.system, filters=[("_key", "=", key)], partitioning=None) for f in there]
+            self.key, self.table = key, pa.concat_tables(parts).sort_by("_row").combine_chunks() if sum(len(p) for p in parts) else None
+        return self.table
+
+    def noted(self, keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Table, np.ndarray]]:
+        """(indices of rows with notes, the notes' table, their indices there), for each run of rows of one key."""
+        if not len(keys):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            table = self.of(int(keys[lo]))
+            if table is not None:
+                have = table.column("_row").to_numpy()
+                at = np.minimum(np.searchsorted(have, rows[lo:hi]), len(have) - 1)
+                hit = np.flatnonzero(have[at] == rows[lo:hi])
+                yield lo + hit, table, at[hit]
+
+
+def without(docs: DataFrame, names: list[str], columns: list[str], drop: DataFrame) -> DataFrame:
+    """``docs``, as ``keyed`` made it, less the rows (_key, _row) in ``drop``; ``names`` become ``columns``.
+
+    The list is written by file, and each task reads what concerns the file it
+    scans.  Texts stay where they are, and nothing is broadcast, at any size.
+    """
+    path, buckets = write_notes(drop.select("_key", "_row"), "drop")
+
+    @F.arrow_udf("boolean")
+    def stays(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        notes = Notes(path, buckets)
+        for key, row in parts:
+            ok = np.ones(len(key), bool)
+            for i, _, _ in notes.noted(key.to_numpy(zero_copy_only=False), row.to_numpy(zero_copy_only=False)):
+                ok[i] = False
+            yield pa.array(ok)
 
+    return docs.where(stays("_key", "_row")).select(*names).toDF(*columns)
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+
+def uri(path: str) -> str:
+    """A path as pyarrow wants it."""
+    return path if "://" in path else "file://" + path if path.startswith("/") else path.replace("file:/", "file:///", 1)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, root), root = smallest node, roots excluded.
 
     Alternates large-star and small-star, each round written to the shared
@@ -134,9 +220,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         "edges",
     )
     state = _fingerprint(cur)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         # large-star: larger neighbours of u move to the smallest of u and its neighbours
         both = cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -145,14 +229,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").select("m", F.col("lo").alias("v"), F.col("hi").alias("u"))
         small = moved.select(F.col("m").alias("lo"), F.explode(F.array("v", "u")).alias("hi")).where("lo < hi").distinct()
-        nxt = staged(small, "edges")
-        now = _fingerprint(nxt)
-        cur = nxt
+        last, cur = cur, staged(small, "edges")
+        now = _fingerprint(cur)
+        remove(last)
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("connected components did not converge")
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 

@@ -5,15 +5,20 @@ be frequent; one exact count verifies them.  The verified winners, never more
 than ``counters``, are broadcast, so their rows meet their keeper on the map side
 and never reach a shuffle, where each would be one hot key.  The remaining
 digests are shuffled as usual; none of them holds more than 1/counters of the
-rows.
+rows.  Texts are the same if their SHA-256 digests are.  What is dropped is named by
+file and place there, never by id, and each task reads which of its rows go.
 
 Results for odd input:
 * null text: the row is nobody's copy and has no copy;
 * empty text: an ordinary value, all empty texts are copies of one another;
-* null id: may be removed, is kept only if no copy has an id;
-* ties: the smallest id is kept;
+* null id: may be removed, is kept only if no copy has an id, and ``exact_pairs``
+  doesn't report it, as it has no id to report;
+* ties: the smallest id is kept, of rows with one id that of the first file in
+  order of a hash;
+* one id on several texts: each row is judged by its own text;
 * repeated rows (same id and text): ``exact_pairs`` doesn't report an id as a copy
   of itself; ``exact_dedup`` keeps one of the rows;
+* very long texts count whole, by their digest;
 * empty tables give empty results; further columns, whatever their names, are
   carried through ``exact_dedup`` unchanged.
 """
@@ -24,11 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import digest, map_side, pick, staged
+from .common import digest, keyed, staged, without
 
 COUNTERS = 1024
 _FAN_IN = 64
@@ -69,56 +73,59 @@ def frequent_keys(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return part
 
 
-def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """(id, digest, kept, first) per row with text: kept = smallest id of its copies."""
-    rows = staged(pick(docs, _id=id_col, _text=text_col).select("_id", digest("_text").alias("_digest")).where("_digest is not null"), "digests")
+def place() -> Column:
+    """Which of several rows stays: the smallest in this order, rows without an id last."""
+    return F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key", "_row")
+
+
+def flat(kept: str) -> list[Column]:
+    """The columns of a ``place``."""
+    return [F.col(f"{kept}._id").alias("kept_id"), F.col(f"{kept}._key").alias("kept_key"), F.col(f"{kept}._row").alias("kept_row")]
+
+
+_COPY = ["_id", "_key", "_row", "kept_id", "kept_key", "kept_row"]
+
+
+def copies(keyed_docs: DataFrame, i: str, t: str, counters: int = COUNTERS) -> DataFrame:
+    """(_id, _key, _row, kept_id, kept_key, kept_row) of every row whose text occurs in others, and of the one that stays."""
+    spark = keyed_docs.sparkSession
+    rows = staged(keyed_docs.select(F.col(i).alias("_id"), digest(t).alias("_digest"), "_key", "_row").where("_digest is not null"), "digests")
     short = F.xxhash64("_digest")
     found = [r["key"] for r in frequent_keys(rows.select(short.alias("key")), counters).collect()]
     total = rows.count()
+    heavy, rest = None, rows
     if found:
-        names = docs.sparkSession.createDataFrame([(k,) for k in found], "_key bigint")
+        names = spark.createDataFrame([(k,) for k in found], "_short bigint")
         # partial aggregation: no task sends more than len(found) rows
-        counted = rows.withColumn("_key", short).join(F.broadcast(names), "_key").groupBy("_digest").agg(F.count("*").alias("_n"), F.min("_id").alias("_kept"))
-        winners = [(bytes(r["_digest"]), r["_kept"]) for r in counted.where(F.col("_n") > max(1, total // (counters + 1))).collect()]
-    else:
-        winners = []
-    rest = rows
-    heavy = None
-    if winners:
-        schema = rows.select("_digest", F.col("_id").alias("_kept")).schema
-        small = F.broadcast(docs.sparkSession.createDataFrame(winners, schema))
-        heavy = rows.join(small, "_digest").select("_id", "_digest", "_kept")
-        rest = rows.join(small.select("_digest"), "_digest", "left_anti")
-    light = rest.select("_id", "_digest", F.min("_id").over(Window.partitionBy("_digest")).alias("_kept"))
+        counted = rows.join(F.broadcast(names), short == names["_short"]).groupBy("_digest").agg(F.count("*").alias("_n"), F.min(place()).alias("_kept"))
+        # more than total / (counters + 1) rows each, so at most ``counters`` of them
+        winners = staged(counted.where(F.col("_n") > max(1, total // (counters + 1))).select("_digest", *flat("_kept")), "winners")
+        heavy = rows.join(F.broadcast(winners), "_digest").select(*_COPY)
+        rest = rows.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
+    twice = rest.groupBy("_digest").agg(F.count("*").alias("_n")).where("_n > 1").select("_digest")
+    again = staged(rest.join(twice, "_digest", "left_semi"), "copies")
+    first = again.groupBy("_digest").agg(F.min(place()).alias("_kept")).select("_digest", *flat("_kept"))
+    light = again.join(first, "_digest").select(*_COPY)
     return light if heavy is None else light.unionByName(heavy)
 
 
+def removed() -> Column:
+    """Whether a row isn't the one that stays."""
+    return (F.col("_key") != F.col("kept_key")) | (F.col("_row") != F.col("kept_row"))
+
+
 def exact_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """(doc_id, kept_id): one row per document that repeats the text of a kept document with a smaller id."""
-    k = keepers(docs, id_col, text_col, counters)
-    out = k.where(~F.col("_id").eqNullSafe(F.col("_kept"))).select(F.col("_id").alias("doc_id"), F.col("_kept").alias("kept_id"))
-    return out.distinct()
+    d, names = keyed(docs)
+    c = copies(d, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)], counters)
+    return c.where("_id <> kept_id").select(F.col("_id").alias("doc_id"), "kept_id").distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """``docs`` without rows that repeat another's text, all columns kept.
 
-    Only ids and digests are grouped.  Texts move once at most, in the join that
-    drops the copies, and not at all where the counted list of copies is small
-    enough to broadcast (``common.MAP_SIDE_ROWS``).
+    Only ids, digests and places of rows are grouped; texts never move (``common.without``).
     """
-    k = staged(keepers(docs, id_col, text_col, counters), "keepers")
-    drop = k.where(~F.col("_id").eqNullSafe(F.col("_kept"))).select("_id", "_digest").distinct()
-    again = k.where(F.col("_id").eqNullSafe(F.col("_kept"))).groupBy("_id", "_digest").count().where("count > 1").select("_id", "_digest")
-    cols = docs.columns
-    names = [f"_c{i}" for i in range(len(cols))]
-    d = docs.toDF(*names)
-    i, t = names[cols.index(id_col)], names[cols.index(text_col)]
-    d = d.withColumn("_digest", digest(t))
-    same = lambda r: (d["_digest"] == r["_digest"]) & d[i].eqNullSafe(r["_id"])
-    left = d.join(map_side(drop), same(drop), "left_anti")
-    if again.limit(1).count():
-        same = (left["_digest"] == again["_digest"]) & left[i].eqNullSafe(again["_id"])
-        one = left.join(again, same, "left_semi").dropDuplicates([i, "_digest"])
-        left = left.join(again, same, "left_anti").unionByName(one)
-    return left.select(*names).toDF(*cols)
+    d, names = keyed(docs)
+    c = copies(d, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)], counters)
+    return without(d, names, docs.columns, c.where(removed()))

@@ -1,30 +1,37 @@
 """SimHash near-duplicate detection with pigeonhole blocks.
 
 Each document gets a 128-bit fingerprint: the majority, bit by bit, over hashes
-of its words, a word used n times with 1 + floor(log2(n)) votes.  Two fingerprints within ``MAX_DISTANCE`` = 17 bits
-differ in at most two bits of one of six blocks (pigeonhole: six blocks with
-three or more each would make 18).  Two block values within two bits have a
-value within one bit of both, so every fingerprint is listed, block by block,
-under its own value and those with one bit flipped; close pairs then meet under
-a common key.  This finds every pair within the bound, not only likely ones.
-Blocks are 21 or 22 bits wide, which keeps the lists short as the corpus grows,
-where blocks that must agree exactly would be seven bits wide.
-
-Lists are searched with vectorised Hamming distances.  Long lists (one large
-group of near copies) grow a cluster from a seed instead of trying all pairs:
-what the seed reaches is taken out, its members search the rest in turn.  That
-yields the same connected groups without quadratic output.  Documents with equal
-fingerprints are merged before, and groups are the connected components of the
-verified pairs; the smallest id stands for its group.
+of its words, a word used n times with 1 + floor(log2(n)) votes.  Two fingerprints
+within ``MAX_DISTANCE`` = 17 bits differ in at most five bits of one of three parts
+(pigeonhole: three parts with six or more each would make 18).  Each part is cut
+into small blocks, one for every vector of six bits, and a join key is the
+combination of the blocks whose vector has an odd product with one of 63 masks.
+Whatever five blocks differ, some mask leaves out all five of them: five equations
+in six unknowns have a solution besides zero.  So close pairs agree on all blocks
+of one of the 189 combinations, and joining on these finds every pair within the
+bound, not only likely ones.  A combination is 18 to 26 bits wide (21.8 at the mean), so
+unrelated fingerprints meet under one key in one of some 2^21 cases: lists stay
+shorter than two until there are millions of fingerprints, and have some 500 at 10^9.
+
+Lists are searched with vectorised Hamming distances, all lists of a batch at the
+same time, by growing clusters: what a seed reaches is taken out, its members
+search the rest in turn.  That yields the same connected groups as trying all pairs,
+with one link less than members.  Documents with equal fingerprints are merged
+before, and groups are the connected components of the verified pairs; the row with
+the smallest id stays for its group.  Rows are named by file and place there
+(``common.keyed``), never by id.
 
 Results for odd input:
 * null and empty texts, and texts without a letter or digit, have no fingerprint
   and are never near copies;
 * null ids count as the largest: such a row is kept only in a group without ids
   (``near_pairs`` doesn't report it: it has no id to report);
-* ties: the smallest id is kept; repeated rows (same id and text) are one
-  document for ``near_pairs``, and ``near_dedup`` keeps one of them where the
-  text has other copies or not;
+* ties: the smallest id is kept, of rows with one id that of the first file in order
+  of a hash;
+* one id on several texts: each row is judged by its own text, and a row that
+  isn't in the group of another stays whatever happens to rows of the same id;
+* repeated rows (same id and text) are one document for ``near_pairs``, and
+  ``near_dedup`` keeps one of them;
 * very long texts count whole; empty tables give empty results; other columns,
   whatever their names, are carried through ``near_dedup`` unchanged.
 """
@@ -35,20 +42,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, components, map_side, pick, staged
+from .common import batches_by_bytes, bound_batches, components, keyed, staged, without
+from .exact_dedup import _COPY, COUNTERS, flat, place, removed
 from .text import mix, words
 
 BITS = 128
-BLOCKS = 6
 MAX_DISTANCE = 17
-#: Bit ranges of the blocks, within the high (0..63) and the low word: three each.
-_WIDTHS = (22, 21, 21)
-_LONG = 256
+#: Bits of the three parts; each may differ in _RADIUS bits, 3 * (_RADIUS + 1) > MAX_DISTANCE.
+_PARTS = (43, 43, 42)
+_RADIUS = 5
 _ROWS = 1 << 16
 
+
+def _masks() -> list[tuple[np.uint64, np.uint64]]:
+    """Bits of the high and low half that each of the 189 combinations keeps."""
+    r = np.random.default_rng(946)
+    out, at = [], 0
+    for width in _PARTS:
+        vector = r.permutation(np.arange(1, 2 ** (_RADIUS + 1)))[:width]
+        for mask in range(1, 2 ** (_RADIUS + 1)):
+            bits = sum(1 << (at + i) for i in range(width) if int(vector[i] & mask).bit_count() % 2)
+            out.append((np.uint64(bits >> 64), np.uint64(bits & (2**64 - 1))))
+        at += width
+    return out
+
+
+MASKS = _masks()
+
 _LANES = np.zeros(256, np.uint64)
 for _b in range(8):
     _LANES += (((np.arange(256, dtype=np.uint64) >> np.uint64(_b)) & np.uint64(1)) << np.uint64(8 * _b))
@@ -103,15 +126,16 @@ def _fingerprint(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi, lo, has = fingerprints(b.column(1))
             keep = pa.array(has)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).filter(keep), pa.array(hi.view(np.int64)[has]), pa.array(lo.view(np.int64)[has])], ["id", "hi", "lo"]
+                [b.column(0).filter(keep), pa.array(hi.view(np.int64)[has]), pa.array(lo.view(np.int64)[has]), b.column(2).filter(keep), b.column(3).filter(keep)],
+                ["_id", "hi", "lo", "_key", "_row"],
             )
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hi, lo): the two halves of each document's fingerprint; documents without words are left out."""
-    d = pick(docs, id=id_col, text=text_col)
-    kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(_fingerprint, f"id {kind}, hi bigint, lo bigint")
+    """(_id, hi, lo, _key, _row): the two halves of each row's fingerprint, for ``docs`` as ``keyed`` made it; rows without words are left out."""
+    bound_batches(docs.sparkSession)
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), "_key", "_row")
+    return d.mapInArrow(_fingerprint, f"_id {d.schema['_id'].dataType.simpleString()}, hi bigint, lo bigint, _key bigint, _row bigint")
 
 
 def distance(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndarray) -> np.ndarray:
@@ -119,52 +143,52 @@ def distance(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndar
 
 
 def _listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hi, lo): each fingerprint under every block value within one bit of its own."""
+    """(key, hi, lo): each fingerprint under a hash of every combination of its blocks."""
     for whole in it:
-        for at in range(0, whole.num_rows, 4096):
-            b = whole.slice(at, 4096)
+        for at in range(0, whole.num_rows, 2048):
+            b = whole.slice(at, 2048)
             hi, lo = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            keys = []
-            for block in range(BLOCKS):
-                word, k = (hi, lo)[block // 3], block % 3
-                width, shift = _WIDTHS[k], sum(_WIDTHS[:k])
-                own = (word >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                tag = np.uint64(block << 24)
-                keys += [own | tag] + [(own ^ np.uint64(1 << i)) | tag for i in range(width)]
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.tile(hi, n).view(np.int64)), pa.array(np.tile(lo, n).view(np.int64))],
-                ["key", "hi", "lo"],
-            )
+            key = np.empty((len(MASKS), len(hi)), np.int32)
+            for k, (high, low) in enumerate(MASKS):
+                x = (hi & high) * np.uint64(0x9E3779B97F4A7C15) + (lo & low) + np.uint64(k * 0xD1B54A32D192ED03 % 2**64)
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                key[k] = (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(hi, len(MASKS)).view(np.int64)), pa.array(np.tile(lo, len(MASKS)).view(np.int64))], ["key", "hi", "lo"])
 
 
 def _search(hi: np.ndarray, lo: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within MAX_DISTANCE that connect what is connected under each key; ``key`` is sorted."""
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(cut, len(key)))
+    """Index pairs within MAX_DISTANCE that connect what is connected under each key; ``key`` is sorted.
+
+    Each list is kept as done, reached and other members, in this order.  In a
+    round every list takes its next reached member, or else its next other one as
+    a seed, and moves what this one reaches from the others to the reached.
+    """
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    done, end = cut[:-1].copy(), cut[1:]
+    more = end - done > 1
+    done, end = done[more], end[more]
+    reached = done.copy()
+    member = np.arange(len(key))
     left, right = [], []
-    short = (size > 1) & (size <= _LONG)
-    start, length = cut[short], size[short]
-    # every pair of a short list: partner k places further on
-    for step in range(1, int(length.max()) if len(length) else 0):
-        more = length > step
-        start, length = start[more], length[more]
-        reach = length - step
-        a = np.repeat(start - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
-        close = distance(hi[a], lo[a], hi[a + step], lo[a + step]) <= MAX_DISTANCE
-        left.append(a[close])
-        right.append(a[close] + step)
-    for s, n in zip(cut[size > _LONG], size[size > _LONG]):
-        rest = np.arange(s, s + n)
-        while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                x = queue.pop()
-                close = distance(hi[x], lo[x], hi[rest], lo[rest]) <= MAX_DISTANCE
-                found, rest = rest[close], rest[~close]
-                left.append(np.full(len(found), x))
-                right.append(found)
-                queue.extend(found)
+    while len(done):
+        reached = np.maximum(reached, done + 1)
+        count = end - reached
+        # places of the others of every list, and the list of each
+        owner = np.repeat(np.arange(len(done)), count)
+        at = np.arange(len(owner)) + np.repeat(reached - (np.cumsum(count) - count), count)
+        x, y = member[done][owner], member[at]
+        close = distance(hi[x], lo[x], hi[y], lo[y]) <= MAX_DISTANCE
+        left.append(x[close])
+        right.append(y[close])
+        if close.any():
+            found = np.bincount(owner[close], minlength=len(done))
+            member[at] = y[np.lexsort((~close, owner))]
+            reached = reached + found
+        done = done + 1
+        # a list with no others left has all its links
+        more = end - np.maximum(reached, done + 1) > 0
+        done, reached, end = done[more], reached[more], end[more]
     z = np.zeros(0, np.int64)
     return np.concatenate([z, *left]).astype(np.int64), np.concatenate([z, *right]).astype(np.int64)
 
@@ -210,37 +234,42 @@ def close_fingerprints(prints: DataFrame) -> DataFrame:
     return near.distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept): for each fingerprinted document the smallest id of its group, itself included."""
-    prints = staged(simhash(docs, id_col, text_col), "fingerprints")
-    # one node for each distinct fingerprint, named by its smallest id
-    node = staged(prints.groupBy("hi", "lo").agg(F.min("id").alias("node")), "nodes")
+def near_copies(docs: DataFrame, i: str, t: str) -> DataFrame:
+    """(_id, _key, _row, kept_id, kept_key, kept_row) of every row in a group of several, and of the one that stays, for ``docs`` as ``keyed`` made it."""
+    prints = staged(simhash(docs, i, t), "fingerprints")
+    # one node for each distinct fingerprint; numbers are given once, as the table is written
+    node = prints.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(place()).alias("first"))
+    node = staged(node.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs = close_fingerprints(node.select("hi", "lo"))
     a = node.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("node").alias("a"))
     b = node.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("node").alias("b"))
-    edges = pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).select("a", "b")
-    roots = components(edges)
-    of = node.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("kept"))
-    return prints.join(of, ["hi", "lo"]).select("id", "kept")
+    roots = components(pairs.join(a, ["a_hi", "a_lo"]).join(b, ["b_hi", "b_lo"]).select("a", "b"))
+    # the smallest node of a group isn't in ``roots``
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    grouped = node.join(members, "node", "left").where("root is not null or n > 1").select("hi", "lo", "n", "first", F.coalesce("root", "node").alias("root"))
+    grouped = staged(grouped, "members")
+    kept = grouped.groupBy("root").agg(F.min("first").alias("_kept")).select("root", *flat("_kept"))
+    of = staged(grouped.join(kept, "root").select("hi", "lo", "n", *_COPY[3:]), "kept")
+    # fingerprints that many rows share meet their rows on the map side: at most COUNTERS of them
+    hot = of.where(F.col("n") > max(1, prints.count() // COUNTERS)).drop("n")
+    cold = of.join(F.broadcast(hot.select("hi", "lo")), ["hi", "lo"], "left_anti").drop("n")
+    rest = prints.join(F.broadcast(hot.select("hi", "lo")), ["hi", "lo"], "left_anti")
+    both = prints.join(F.broadcast(hot), ["hi", "lo"]).unionByName(rest.join(cold, ["hi", "lo"]))
+    return both.select(*_COPY)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, kept) of every row in a group of several: its id and that of the row which stays."""
+    d, names = keyed(docs)
+    return near_copies(d, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]).select(F.col("_id").alias("id"), F.col("kept_id").alias("kept"))
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept_id): one row per document that is a near copy of, or connected to, the kept one."""
-    g = near_groups(docs, id_col, text_col).where("id is not null and id <> kept")
-    return g.select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_id")).distinct()
+    return near_groups(docs, id_col, text_col).where("id <> kept").select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_id")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, all columns kept; texts stay where they are while the counted list of copies is small enough to broadcast."""
-    cols = docs.columns
-    names = [f"_c{i}" for i in range(len(cols))]
-    i, t = names[cols.index(id_col)], names[cols.index(text_col)]
-    d = docs.toDF(*names)
-    g = staged(near_groups(d, i, t), "groups")
-    drop = g.where("id is null and kept is not null or id <> kept").select(F.col("id").alias("_id")).distinct()
-    left = d.join(map_side(drop), d[i].eqNullSafe(drop["_id"]), "left_anti")
-    again = g.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"))
-    if again.limit(1).count():
-        same = left[i].eqNullSafe(again["_id"])
-        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([i, t]))
-    return left.select(*names).toDF(*cols)
+    """``docs`` with one row of each group, all columns kept; texts stay where they are (``common.without``)."""
+    d, names = keyed(docs)
+    return without(d, names, docs.columns, near_copies(d, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]).where(removed()))

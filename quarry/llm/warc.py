@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, uri
 
 MAGIC = 0x184D2A5D
 FILE_BYTES = 48 << 20
@@ -94,14 +94,14 @@ def read_record(data: bytes, offset: int, length: int) -> bytes:
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Lazily writes ``pages`` into ``folder``, a URI that every executor reaches; (page_id, url, file, offset, length, record_length, payload_digest)."""
     d = pick(pages, page_id=id_col, url=url_col, html=body_col)
-    uri = folder if "://" in folder else "file://" + folder if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
+    target = uri(folder)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        system, root = fs.FileSystem.from_uri(uri)
+        system, root = fs.FileSystem.from_uri(target)
         held: list[tuple] = []
         size = number = 0
 
