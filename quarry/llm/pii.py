@@ -2,32 +2,38 @@
 
 Protected entities (mail addresses, phone, card and network numbers, secrets) are
 found by pattern and always generalised to the name of their kind.  Beyond that,
-terms near an entity may give it away.  The corpus tells how strongly: with
-document frequencies over all N documents,
+terms of a document may give its entities away.  The corpus tells how strongly: with
+numbers of documents,
 
     PMI(t; e) = log p(t, e) / (p(t) p(e)),    IC(e) = -log p(e),
 
-the ratio PMI / IC is 1 for a term that occurs only with the entity and 0 for an
-independent one.  A term whose ratio exceeds ``GENERALISE`` is replaced by its
-shape in documents that hold the entity, one above ``REMOVE`` is removed.
-p(t, e) counts distinct contexts, the ``WINDOW`` words on both sides, so copies
-of one document don't count as evidence; fewer than ``SUPPORT`` contexts give no
-estimate, and the term stays.
+the ratio PMI / IC is near 1 for a term that occurs only with the entity and 0 for an
+independent one.  A term whose ratio exceeds ``GENERALISE`` is replaced by its shape
+in documents that hold the entity, one above ``REMOVE`` is removed.
 
-Only contexts of entities are shuffled.  Frequencies of the terms that occur in
-``SUPPORT`` contexts or more are counted in one pass over the whole corpus; the
-terms go to the workers in groups of at most ``GROUP`` terms, one pass a group.
-Rewriting likewise sends the disclosing pairs in groups, so texts never move.
+Everything is counted in documents (rows), whole documents: p(e) and p(t, e) by
+n(e) / N and n(t, e) / N, p(t) by (df(t) + 1) / N.  The added document stands for one
+unseen that holds the term but not the entity; by it, terms and entities of a single
+document have an estimate too, and a term's ratio falls as it is used elsewhere.
+Entities that occur in the same documents can't be told apart by co-occurrence, and
+often belong to one person; they are one *subject*, so counts are made once for all.
+
+Only documents with entities are taken apart into terms.  Frequencies are counted in
+one pass over the corpus and joined, never sent to the driver or broadcast; a term
+that many documents share meets its frequency on the map side.  Before terms
+meet the subjects of their document, those too frequent to disclose any of them are
+dropped.  What a document loses is written by file and place (``common.write_notes``),
+and the task that scans the document reads it, so texts never move.
 
 Results for odd input:
 * null text stays null, empty text stays empty, texts without entities are returned
   unchanged, byte for byte;
 * ids may be null or repeated: every row is rewritten by itself, and counts as a
-  document of its own;
+  document of its own, copies included;
 * ties don't occur: each term is judged by itself; several entities in one
   document: the strongest ratio decides;
-* very long texts are searched and rewritten whole; an empty table gives no rows;
-  other columns are never read.
+* very long texts are searched and rewritten whole, in time linear in their length; an
+  empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -40,14 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, staged
+from .common import Notes, batches_by_bytes, bound_batches, keyed, staged, write_notes
+from .exact_dedup import frequent_keys
 from .text import mix, words
 
-GENERALISE = 0.75
+GENERALISE = 0.8
 REMOVE = 0.9
-SUPPORT = 3
-WINDOW = 10
-GROUP = 1_000_000
 
 #: Kinds of protected entities; the first that matches a place decides.
 KINDS = {
@@ -116,90 +120,74 @@ def _hash(terms: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, context) for the distinct terms around each entity; term null marks the entity itself."""
+def _mentions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_key, _row, entities, terms) of every document with entities: their hashes, and those of its distinct other words."""
     for b in it:
         col = b.column(0)
-        rows = np.flatnonzero(_candidates(col))
-        names: list[str] = []
-        around: list[list[str]] = []
-        for text in col.take(pa.array(rows)).to_pylist():
-            for s, e, _ in entities(text):
-                names.append(text[s:e])
-                left = text[:s].rsplit(None, WINDOW)[-WINDOW:]
-                right = text[e:].split(None, WINDOW)[:WINDOW]
-                around.append([w for w in left + right if not ENTITY.search(w)])
-        if not names:
+        rows, names, number, rest = [], [], [], []
+        for i in np.flatnonzero(_candidates(col)).tolist():
+            text = col[i].as_py()
+            found = entities(text)
+            if found:
+                rows.append(i)
+                names += [text[s:e] for s, e, _ in found]
+                number.append(len(found))
+                at = [0, *(x for s, e, _ in found for x in (s, e)), len(text)]
+                rest.append(" ".join(text[s:e] for s, e in zip(at[::2], at[1::2])))
+        if not rows:
             continue
-        entity = _hash(names)
-        n = np.array([len(a) for a in around])
-        term = _hash([w for a in around for w in a])
-        owner = np.repeat(np.arange(len(names)), n)
-        context = np.zeros(len(names), np.int64)
-        if len(term):
-            has = n > 0
-            head = (np.cumsum(n) - n)[has]
-            place = (np.arange(len(term)) - np.repeat(head, n[has])).astype(np.uint64)
-            context[has] = np.add.reduceat(mix(term.view(np.uint64) + place), head).view(np.int64)
-        ok = term != 0
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([entity, entity[owner[ok]]])),
-                pa.array(np.concatenate([np.zeros(len(names), np.int64), term[ok]]), mask=np.concatenate([np.ones(len(names), bool), np.zeros(int(ok.sum()), bool)])),
-                pa.array(np.concatenate([context, context[owner[ok]]])),
-            ],
-            ["entity", "term", "context"],
-        )
-
-
-def _frequencies(terms: np.ndarray):
-    """Document frequency of the given sorted terms, counted per task."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
-        for b in it:
+        owner = np.repeat(np.arange(len(rows)), number)
+        entity = np.unique(np.stack([owner, _hash(names)], axis=1), axis=0)
+        w = words(pa.array(rest, pa.large_string()))
+        term = np.unique(np.stack([w.doc, w.hash.view(np.int64)], axis=1), axis=0)
+        lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(x[:, 0], np.arange(len(rows) + 1)).astype(np.int32)), pa.array(x[:, 1])) for x in (entity, term)]
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(2).take(take), *lists], ["_key", "_row", "entities", "terms"])
+
+
+def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df): documents of a batch with each word."""
+    for whole in it:
+        for b in batches_by_bytes(whole, "text"):
             w = words(b.column(0))
-            h = w.hash.view(np.int64)
-            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-            hit = np.flatnonzero(terms[at] == h)
-            pair = np.unique(np.stack([at[hit], w.doc[hit]], axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
-            total += np.bincount(pair[:, 0], minlength=len(terms))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[some])], ["term", "df"])
-
-    return run
-
-
-def _groups(frame: DataFrame, size: int) -> Iterator[list]:
-    held = []
-    for r in frame.toLocalIterator():
-        held.append(tuple(r))
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def disclosures(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, ratio): terms (by hash) that reveal an entity more than ``generalise`` allows."""
-    d = pick(docs, text=text_col).where("text is not null")
-    seen = staged(d.mapInArrow(_contexts, "entity bigint, term bigint, context bigint").distinct(), "contexts")
-    total = d.count()
-    known = seen.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joint = staged(seen.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= support), "joint")
-    counts = None
-    for rows in _groups(joint.select("term").distinct(), GROUP):
-        terms = np.sort(np.array([r[0] for r in rows], np.int64))
-        part = d.mapInArrow(_frequencies(terms), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return docs.sparkSession.createDataFrame([], "entity bigint, term bigint, ratio double")
-    n = F.lit(float(max(total, 2)))
-    # n_joint counts contexts and may exceed the documents with the term
-    pmi = F.log(F.least("n_joint", "df", "n_entity") * n / (F.col("df") * F.col("n_entity")))
-    ic = F.log(n / F.col("n_entity"))
-    return joint.join(counts, "term").join(known, "entity").select("entity", "term", F.try_divide(pmi, ic).alias("ratio")).where(F.col("ratio") > generalise)
+            # one sort of (word, document): equal pairs are next to one another
+            order = np.argsort(w.hash, kind="stable")
+            h, doc = w.hash[order], w.doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h = h[new]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h))))], ["term", "df"])
+
+
+def meet(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row a ``key``; the hot keys of ``rows``, bounded in number, meet on the map side."""
+    hot = F.broadcast(staged(frequent_keys(rows.select(key)).select(F.col("key").alias(key)).distinct(), "hot-keys"))
+    few = F.broadcast(side.join(hot, key))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(side.join(hot, key, "left_anti"), key))
+
+
+def disclosures(docs: DataFrame, t: str, generalise: float = GENERALISE) -> DataFrame:
+    """(_key, _row, term, ratio): terms (by hash) of each document that reveal one of its entities more than ``generalise`` allows, for ``docs`` as ``keyed`` made it."""
+    bound_batches(docs.sparkSession)
+    d = docs.select(F.col(t).alias("text"), "_key", "_row").where("text is not null")
+    seen = staged(d.mapInArrow(_mentions, "_key bigint, _row bigint, entities array<bigint>, terms array<bigint>"), "mentions")
+    total = float(max(d.count(), 2))
+    df = d.select("text").mapInArrow(_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    by_entity = staged(seen.select("_key", "_row", F.explode("entities").alias("entity")), "entities")
+    # entities of the same documents are one subject
+    subject = staged(by_entity.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("_key", "_row")).alias("at")).select("entity", "n_e", F.xxhash64("at", "n_e").alias("subject")), "subjects")
+    of_row = staged(meet(by_entity, subject, "entity").select("_key", "_row", "subject", "n_e").distinct(), "row-subjects")
+    # ratio > g means n(t, e) / (df + 1) > (n(e) / N) ** (1 - g)
+    bound = lambda n: F.pow(F.col(n) / total, F.lit(1 - generalise))
+    of_term = meet(staged(seen.select("_key", "_row", F.explode("terms").alias("term")), "terms"), staged(df, "frequencies"), "term")
+    pairs = of_term.join(of_row, ["_key", "_row"]).where(F.least("df", "n_e") / (F.col("df") + 1) > bound("n_e"))
+    pairs = staged(pairs.select("_key", "_row", "subject", "n_e", "term", "df"), "pairs")
+    ratio = F.log(F.col("n") * total / ((F.col("df") + 1) * F.col("n_e"))) / F.log(F.lit(total) / F.col("n_e"))
+    joint = pairs.where("n_e > 1").groupBy("subject", "term").agg(F.count("*").alias("n"))
+    # a subject of one document shares all its terms once
+    judged = pairs.where("n_e = 1").withColumn("n", F.lit(1)).unionByName(pairs.where("n_e > 1").join(joint, ["subject", "term"])).where(F.col("n_e") < total)
+    return judged.select("_key", "_row", "term", ratio.alias("ratio")).groupBy("_key", "_row", "term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") > generalise)
 
 
 def shape(word: str) -> str:
@@ -208,8 +196,8 @@ def shape(word: str) -> str:
     return re.sub(r"([xX0])\1+", r"\1", s)
 
 
-def rewrite(text: str, found: list[tuple[int, int, str]], judged: dict[int, float], remove: float = REMOVE, mask: bool = True) -> tuple[str, int, int]:
-    """The text with judged terms generalised or removed outside the entities, and, with ``mask``, its entities generalised; counts of both kinds of terms."""
+def rewrite(text: str, found: list[tuple[int, int, str]], judged: dict[int, float], remove: float = REMOVE) -> tuple[str, int, int]:
+    """The text with judged terms generalised or removed outside the entities, and its entities generalised; counts of both kinds of terms."""
     out, at, soft, hard = [], 0, 0, 0
     for s, e, kind in [*found, (len(text), len(text), "")]:
         gap = text[at:s]
@@ -230,51 +218,46 @@ def rewrite(text: str, found: list[tuple[int, int, str]], judged: dict[int, floa
         else:
             out.append(gap)
         if kind:
-            out.append(f"[{kind}]" if mask else text[s:e])
+            out.append(f"[{kind}]")
         at = e
     return "".join(out), soft, hard
 
 
-def _rewriter(pairs: list[tuple] | None, remove: float):
-    """Rewrites terms for the given pairs; without pairs, masks the entities."""
-    table: dict[int, dict[int, float]] = {}
-    for entity, term, ratio in pairs or []:
-        table.setdefault(entity, {})[term] = ratio
-
+def _rewriter(path: str, buckets: int, remove: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = Notes(path, buckets)
         for b in it:
             col = b.column(1)
+            judged: dict[int, dict[int, float]] = {}
+            key, row = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            for i, table, at in notes.noted(key, row):
+                terms, ratios = table.column("terms").combine_chunks(), table.column("ratios").combine_chunks()
+                for x, y in zip(i.tolist(), at.tolist()):
+                    judged[x] = dict(zip(terms[y].as_py(), ratios[y].as_py()))
             texts: list[str] | None = None
-            counts = [b.column(k).to_numpy(zero_copy_only=False).copy() for k in (2, 3, 4)]
+            counts = [np.zeros(len(col), np.int32) for _ in range(3)]
             for i in np.flatnonzero(_candidates(col)).tolist():
                 text = col[i].as_py()
                 found = entities(text)
                 if not found:
                     continue
-                judged: dict[int, float] = {}
-                if table:
-                    for h in _hash([text[s:e] for s, e, _ in found]).tolist():
-                        for t, r in table.get(h, {}).items():
-                            judged[t] = max(r, judged.get(t, 0.0))
-                    if not judged:
-                        continue
-                new, soft, hard = rewrite(text, found, judged, remove, mask=pairs is None)
+                new, soft, hard = rewrite(text, found, judged.get(i, {}), remove)
                 texts = col.to_pylist() if texts is None else texts
                 texts[i] = new
-                counts[0][i] += len(found) if pairs is None else 0
-                counts[1][i] += soft
-                counts[2][i] += hard
-            yield pa.RecordBatch.from_arrays([b.column(0), col if texts is None else pa.array(texts, col.type), *map(pa.array, counts)], b.schema.names)
+                for c, n in zip(counts, (len(found), soft, hard)):
+                    c[i] = n
+            yield pa.RecordBatch.from_arrays([b.column(0), col if texts is None else pa.array(texts, col.type), *map(pa.array, counts)], ["doc_id", "text", "n_entities", "n_generalised", "n_removed"])
 
     return run
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, text, n_entities, n_generalised, n_removed) of every row, sanitised."""
-    pairs = staged(disclosures(docs, text_col, support, generalise), "disclosures")
-    zero = F.lit(0).cast("int")
-    d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", "text", zero.alias("n_entities"), zero.alias("n_generalised"), zero.alias("n_removed"))
-    # terms first: they are found by the entities that the last step masks
-    for rows in _groups(pairs.select("entity", "term", "ratio"), GROUP):
-        d = d.mapInArrow(_rewriter(rows, remove), d.schema)
-    return d.mapInArrow(_rewriter(None, remove), d.schema)
+    d, names = keyed(docs)
+    i, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    found = disclosures(d, t, generalise)
+    # no more rows than the document has distinct words
+    notes = found.groupBy("_key", "_row").agg(F.collect_list(F.struct("term", "ratio")).alias("l")).select("_key", "_row", F.col("l.term").alias("terms"), F.col("l.ratio").alias("ratios"))
+    path, buckets = write_notes(notes, "disclosures")
+    kind = d.schema[i].dataType.simpleString()
+    return d.select(i, t, "_key", "_row").mapInArrow(_rewriter(path, buckets, remove), f"doc_id {kind}, text string, n_entities int, n_generalised int, n_removed int")
