@@ -73,6 +73,20 @@ def frequent_keys(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return part
 
 
+def meet(rows: DataFrame, side: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row a ``key``.
+
+    The frequent keys of ``rows``, at most ``counters``, meet their rows of ``side``
+    on the map side; the rest is shuffled, and no key is hot there.
+    """
+    short = F.xxhash64(key)
+    found = staged(frequent_keys(rows.select(short.alias("key")), counters).select(F.col("key").alias("_hot")).distinct(), "hot-keys")
+    hot = F.broadcast(found)
+    few = F.broadcast(side.join(hot, short == F.col("_hot"), "left_semi"))
+    rest = rows.join(hot, short == F.col("_hot"), "left_anti").join(side.join(hot, short == F.col("_hot"), "left_anti"), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def place() -> Column:
     """Which of several rows stays: the smallest in this order, rows without an id last."""
     return F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key", "_row")

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Notes, batches_by_bytes, bound_batches, keyed, staged, write_notes
-from .exact_dedup import frequent_keys
+from .exact_dedup import meet
 from .text import mix, words
 
 GENERALISE = 0.8
@@ -160,13 +160,6 @@ def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h))))], ["term", "df"])
 
 
-def meet(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with ``side``, which has one row a ``key``; the hot keys of ``rows``, bounded in number, meet on the map side."""
-    hot = F.broadcast(staged(frequent_keys(rows.select(key)).select(F.col("key").alias(key)).distinct(), "hot-keys"))
-    few = F.broadcast(side.join(hot, key))
-    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(side.join(hot, key, "left_anti"), key))
-
-
 def disclosures(docs: DataFrame, t: str, generalise: float = GENERALISE) -> DataFrame:
     """(_key, _row, term, ratio): terms (by hash) of each document that reveal one of its entities more than ``generalise`` allows, for ``docs`` as ``keyed`` made it."""
     bound_batches(docs.sparkSession)

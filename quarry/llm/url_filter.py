@@ -7,21 +7,25 @@ it was fetched.  A pattern is a host, which covers its subdomains, optionally
 followed by a path prefix.  Of several active entries the most specific decides:
 the longest host, then the longest path.
 
-Captures meet patterns in an equi-join on host suffixes, so no task compares
-every capture with every entry; the as-of condition and the path prefix are
-checked within the join.  The intervals are broadcast only while Spark's size
-estimate of the list is below its threshold; else both sides are shuffled.
+Entries are looked up for distinct hosts, not for captures: the suffixes of each host
+meet the hosts of the list in an equi-join, where frequent suffixes ("com") meet on
+the map side and what no entry names is dropped.  Every host then has the array of
+its entries, each capture is joined with that of its host, and the as-of condition
+and the path are checked within the array.  No task compares every capture with every
+entry.  Nothing is broadcast but frequent suffixes, at most ``exact_dedup.COUNTERS``; a
+host that very many captures share is split by adaptive execution.
 
 Results for odd input:
 * a capture with null or unparsable url, or null fetch time, matches nothing and
   passes; an empty host likewise;
+* hosts are compared without regard to case, paths with;
 * list events with null pattern, day or action, or an unknown action, are left out;
   several events of one pattern on one instant: "remove" loses to "allow", "allow"
   to "block"; repeated events count once;
 * an interval holds from its day on, up to, not including, the next event's;
-* repeated captures are judged one by one: rows are told apart by their url and
-  time, not by their id; an empty list passes everything; an empty capture table
-  gives no rows; further columns are never read.
+* ids of any type and size; repeated captures are judged one by one; very long urls
+  count whole; an empty list passes everything; an empty capture table gives no rows;
+  further columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -30,12 +34,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick
+from .exact_dedup import meet
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """(host, path, action, since, until) from (pattern, day, action); until is null for entries still active."""
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 0)
-    e = pick(events, pattern="pattern", day="day", action="action").select(F.lower(F.trim("pattern")).alias("pattern"), F.col("day").cast("timestamp_ntz").alias("since"), rank.alias("rank"))
+    e = pick(events, pattern="pattern", day="day", action="action").select(F.trim("pattern").alias("pattern"), F.col("day").cast("timestamp_ntz").alias("since"), rank.alias("rank"))
+    # the host without regard to case, the path as it stands
+    host = F.substring_index("pattern", "/", 1)
+    e = e.withColumn("pattern", F.concat(F.lower(host), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)")))
     e = e.where("pattern <> '' and since is not null and rank is not null").groupBy("pattern", "since").agg(F.max("rank").alias("rank"))
     w = Window.partitionBy("pattern").orderBy("since")
     # repeated statements of what holds already don't cut the interval
@@ -65,18 +73,19 @@ def path_of(url: Column) -> Column:
 def judge(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """(page_id, url, fetched, action, entry) per capture: the deciding entry and "block", "allow" or, without one, "pass"."""
     c = pick(captures, page_id=id_col, url=url_col, fetched=time_col).withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
-    distinct = c.select("url", "fetched").where("url is not null and fetched is not null").distinct()
+    c = c.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
     parts = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
-    keyed = distinct.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).where("host <> ''")
-    keyed = keyed.select("url", "fetched", "path", F.explode(suffixes).alias("entry_host"))
-    active = keyed.join(intervals(events), "entry_host").where(
-        (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))) & F.col("path").startswith(F.col("entry_path"))
-    )
-    best = active.groupBy("url", "fetched").agg(
-        F.max(F.struct(F.length("entry_host").alias("h"), F.length("entry_path").alias("p"), F.col("action"), F.concat("entry_host", "entry_path").alias("entry"))).alias("best")
-    )
-    return c.join(best, ["url", "fetched"], "left").select(
+    hosts = c.select("host").where("host <> ''").distinct().select("host", F.explode(suffixes).alias("entry_host"))
+    spans = intervals(events)
+    # hosts with an entry, and all the entries of each
+    listed = meet(hosts, spans.select("entry_host").distinct(), "entry_host")
+    entry = F.struct(F.length("entry_host").alias("h"), F.length("entry_path").alias("p"), "action", F.concat("entry_host", "entry_path").alias("entry"), F.col("entry_path").alias("path"), "since", "until")
+    of_host = listed.join(spans, "entry_host").groupBy("host").agg(F.collect_list(entry).alias("entries"))
+    at, path = F.col("fetched"), path_of(F.col("url"))
+    active = F.filter("entries", lambda e: (e["since"] <= at) & (e["until"].isNull() | (at < e["until"])) & path.startswith(e["path"]))
+    # the longest host, then the longest path: only one entry has both
+    return c.join(of_host, "host", "left").withColumn("best", F.array_max(active)).select(
         "page_id", "url", "fetched", F.coalesce("best.action", F.lit("pass")).alias("action"), F.col("best.entry").alias("entry")
     )
 
@@ -107,7 +116,8 @@ LIST = [
 
 def captured(pages: DataFrame) -> DataFrame:
     """Pages with a fetch time: the tables have none, so it is spread over 2023 by id, by the hour."""
-    return pages.select("page_id", "url", (F.expr("timestamp_ntz'2023-01-01 00:00:00' + make_dt_interval(0, cast((page_id * 7919) % 8760 as int), 0, 0)")).alias("fetched"))
+    hours = "cast(pmod(pmod(page_id, 8760) * 7919, 8760) as int)"
+    return pick(pages, page_id="page_id", url="url").withColumn("fetched", F.expr(f"timestamp_ntz'2023-01-01 00:00:00' + make_dt_interval(0, {hours}, 0, 0)"))
 
 
 def oracle(events: list[tuple[str, str, str]] = LIST) -> str:

@@ -51,3 +51,24 @@ def test_url_odd(spark):
     assert sorted(got, key=str) == sorted([(1, "pass"), (2, "pass"), (3, "block"), (3, "block"), (None, "block"), (5, "pass"), (6, "pass"), (7, "block")], key=str)
     assert {r.action for r in U.judge(c, events.where("false")).collect()} == {"pass"}
     assert U.judge(c.where("false"), events).count() == 0
+
+
+def test_case_of_paths_large_ids_and_clashing_columns(spark):
+    t = day("2023-06-01")
+    rows = [(1, "http://EXAMPLE.com/News/1", t), (2, "http://example.com/news/1", t), (3, "https://sub.Example.COM/News/", t)]
+    c = spark.createDataFrame(rows, "page_id bigint, url string, fetched timestamp_ntz")
+    events = spark.createDataFrame([("Example.com/News", "2023-01-01", "block")], "pattern string, day string, action string")
+    assert {r.page_id: (r.action, r.entry) for r in U.judge(c, events).collect()} == {1: ("block", "example.com/News"), 2: ("pass", None), 3: ("block", "example.com/News")}
+    big = [(2**62 + 5, "http://a.example/", "x", "y"), (-3, "http://b.example/", "x", "y"), (None, None, None, None)]
+    p = spark.createDataFrame(big, "page_id bigint, url string, URL string, host string")
+    got = U.judge(U.captured(p), events).collect()
+    assert {r.page_id for r in got} == {2**62 + 5, -3, None} and all(r.action == "pass" for r in got)
+
+
+def test_hot_hosts_and_suffixes(spark):
+    """One host on most captures, one suffix on all, and more entries than captures of most hosts."""
+    t = day("2023-06-01")
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i % 50}'}.example.com/p{i % 7}/x", t) for i in range(3000)]
+    events = [(f"h{i}.example.com/p{k}", "2023-01-01", "block") for i in range(50) for k in (1, 3)] + [("example.com/p5", "2023-02-01", "block"), ("hot.example.com/p5", "2023-03-01", "allow")]
+    got = {r.page_id: r.action for r in U.judge(spark.createDataFrame(rows, "page_id bigint, url string, fetched timestamp_ntz").repartition(6), spark.createDataFrame(events, "pattern string, day string, action string")).collect()}
+    assert got == {i: brute(u, at, events) for i, u, at in rows} and set(got.values()) == {"block", "allow", "pass"}
