@@ -12,6 +12,12 @@ repeated or speculative attempt writes other files, and the index lists only
 those of the attempt that succeeded.
 
 Results for odd input:
+* control signs and blanks in a url are percent-encoded in the record, so that no url
+  adds header lines; the index has the url as it was;
+* fewer than 16 records, or records too uniform to train on, have no trained
+  dictionary: the leading frame then holds their first ``DICTIONARY`` bytes as a plain
+  content dictionary, which readers treat alike; every record is written as well;
+* the pages have no fetch time, so all records are dated ``DATE``;
 * null html is written as an empty body, null url as an empty target;
 * records with a null id are written, their id in the index is null;
 * repeated rows are written as often as they occur, in input order; ties don't
@@ -24,6 +30,7 @@ Results for odd input:
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -44,6 +51,7 @@ _INDEX = "file string, offset bigint, length bigint, record_length bigint, paylo
 def record(url: str, body: bytes, date: str = DATE) -> bytes:
     """One response record; its id is derived from target and body."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
+    url = re.sub(r"[\x00-\x20\x7f-\x9f\u2028\u2029]", lambda m: "".join(f"%{x:02X}" for x in m.group().encode()), url)
     name = uuid.uuid5(uuid.NAMESPACE_URL, url + hashlib.sha1(body).hexdigest())
     head = (
         f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n"

@@ -62,3 +62,39 @@ def test_warc_odd(spark, tmp_path):
     assert bodies == [(r[2] or "") for r in rows]
     assert warc.write_warc(pages.where("false"), f"file://{tmp_path}/none").count() == 0
     assert not (tmp_path / "none").exists()
+
+
+def read_through(data):
+    """A reader of its own: from the first byte to the last, without an index, by the streaming interface."""
+    assert data[:4] == bytes([0x5D, 0x2A, 0x4D, 0x18])
+    n = int.from_bytes(data[4:8], "little")
+    rest, out = data[8 + n :], []
+    while rest:
+        d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n])).decompressobj()
+        raw = d.decompress(rest)
+        assert d.eof
+        rest = d.unused_data
+        lines, _, block = raw.partition(b"\r\n\r\n")
+        version, *fields = lines.decode().split("\r\n")
+        head = dict(f.split(": ", 1) for f in fields)
+        assert version == "WARC/1.1" and len(head) == len(fields) == 7 and block[int(head["Content-Length"]) :] == b"\r\n\r\n"
+        out.append((head, block[: int(head["Content-Length"])].partition(b"\r\n\r\n")[2].decode()))
+    return out
+
+
+def test_another_reader_finds_the_same_records(spark, sf, tmp_path):
+    pages = table(spark, sf, "pages")
+    warc.write_warc(pages, f"file://{tmp_path}", file_bytes=300_000).collect()
+    got = sorted((head["WARC-Target-URI"], body) for f in tmp_path.iterdir() for head, body in read_through(f.read_bytes()))
+    assert got == sorted((r.url, r.html) for r in pages.select("url", "html").collect())
+
+
+def test_urls_add_no_header_lines_and_few_records_have_a_plain_dictionary(spark, tmp_path):
+    rows = [(1, "http://a.example/x\r\nWARC-Type: forged\r\n\r\nbody", "<p>one</p>"), (2, "http://b.example/ \u2028\x85", "<p>two</p>")]
+    index = warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), f"file://{tmp_path}").collect()
+    assert [r.url for r in index] == [r[1] for r in rows]
+    (f,) = tmp_path.iterdir()
+    got = read_through(f.read_bytes())
+    assert [head["WARC-Target-URI"] for head, _ in got] == ["http://a.example/x%0D%0AWARC-Type:%20forged%0D%0A%0D%0Abody", "http://b.example/%20%E2%80%A8%C2%85"]
+    assert [b for _, b in got] == ["<p>one</p>", "<p>two</p>"] and {head["WARC-Type"] for head, _ in got} == {"response"}
+    assert warc.read_dictionary(f.read_bytes()).startswith(b"WARC/1.1")
