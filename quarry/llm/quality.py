@@ -15,9 +15,12 @@ Results for odd input:
 * null and empty texts have no score (null) and aren't rejected;
 * labels that are null, or contradict each other for one document, are left out;
   labels of unknown documents have no effect; repeated labels count once;
+* few labels: a class of less than ten usable texts is calibrated on the texts that its
+  dictionary was built from, and one of less than 64 pieces has its texts themselves
+  (the last ``DICTIONARY`` bytes) for a dictionary, as there is nothing to train on;
 * without usable labels of both classes there is no model: every score is null
   and nothing is rejected;
-* repeated rows are scored one by one; ties don't occur;
+* very long texts are scored whole, piece by piece; repeated rows are scored one by one; ties don't occur;
 * other columns, whatever their names, are carried through ``keep_good``.
 """
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, pick
+from .common import bound_batches, pick, staged
 
 MAX_DOCS = 4000
 MAX_BYTES = 12 << 20
@@ -129,8 +132,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Texts by class: the first labelled documents in hash order, within both bounds."""
     sure = pick(labels, _id=id_col, _l=label_col).groupBy("_id").agg(F.min("_l").alias("_q"), F.max("_l").alias("_r")).where("_id is not null and _q = _r and _q in (0, 1)")
     d = pick(docs, _id=id_col, _t=text_col).where("_t is not null and _t <> ''")
-    sized = d.select("_id", F.octet_length("_t").alias("_n")).join(sure, "_id").select("_id", "_n", "_q").distinct()
-    ids: list[int] = []
+    # sizes only; joined once for both classes
+    sized = staged(d.select("_id", F.octet_length("_t").alias("_n")).join(sure, "_id").select("_id", "_n", "_q").distinct(), "labelled")
+    ids: list[tuple] = []
     for q in (0, 1):
         room = max_bytes
         for r in sized.where(F.col("_q") == q).orderBy(F.xxhash64("_id"), "_id", "_n").limit(max_docs).collect():
@@ -142,6 +146,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return texts
     chosen = docs.sparkSession.createDataFrame(ids, sized.select("_id", "_q").schema)
     seen = set()
+    # at most 2 * max_docs rows
     for r in d.join(F.broadcast(chosen), "_id").select("_id", "_q", "_t").collect():
         if (r["_id"], r["_t"]) not in seen:
             seen.add((r["_id"], r["_t"]))

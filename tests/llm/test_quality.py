@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 from quarry.llm import quality
 from quarry.llm.common import table
@@ -53,3 +56,37 @@ def test_quality_odd(spark, odd, empty):
     assert quality.fit(empty, labels) is None and quality.fit(odd, labels.where("false")) is None
     none = quality.score(odd, None).collect()
     assert all(r.keep and r.score is None for r in none) and quality.keep_good(odd, None).count() == odd.count()
+
+
+def test_scores_equal_another_compression_of_the_same_texts(spark, sf):
+    """The score by its definition, with the streaming compressor and dictionaries loaded anew."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    m = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, m).collect()}
+
+    def size(content, text):
+        total = 0
+        for i in range(0, len(text), 1024):
+            c = zstandard.ZstdCompressor(
+                dict_data=zstandard.ZstdCompressionDict(content), compression_params=zstandard.ZstdCompressionParameters.from_level(3, source_size=len(text[i : i + 1024]), dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            ).compressobj()
+            total += len(c.compress(text[i : i + 1024]) + c.flush())
+        return total
+
+    off, n = [], 0
+    for d, t in docs.select("doc_id", "text").where("n_chars > 0").limit(60).collect():
+        text = t.encode()
+        per_byte = (size(m.bad, text) - size(m.good, text) + 32 * m.mean) / (len(text) + 32)
+        off.append(abs(got[d] - 1 / (1 + math.exp(-max(-30, min(30, m.slope * per_byte + m.intercept))))))
+        n += 1
+    assert n == 60 and np.mean(np.array(off) < 0.1) >= 0.9
+
+
+def test_few_labels():
+    """Under ten texts a class, and under 64 pieces: fitted all the same, on either side of both bounds."""
+    good = [f"the river runs past the old mill and the stone bridge number {i} in the valley".encode() for i in range(12)]
+    bad = [f"CLICK $$$ buy now {i} {i} !!! win win win free free {i}".encode() for i in range(12)]
+    for k in (1, 9, 10, 12):
+        m = quality.fit_texts(good[:k], bad[:k])
+        s = quality.scores(m, pa.array(["the stone bridge in the old valley past the river", "free $$$ win now !!! CLICK buy win"]))
+        assert s[0] > s[1] and (k == 1 or s[0] > 0.5 > s[1]), k
