@@ -1,8 +1,8 @@
 """Packing along a space-filling curve.
 
 Documents become hashed bags of words, projected at random to ``DIMS``
-dimensions.  Each coordinate is standardised over all documents and mapped to
-its normal rank, the cell's place on a Hilbert curve is the sort key, and
+dimensions, in steps of 2^-16, so that sums are whole numbers and don't depend on their
+order.  Each coordinate is standardised over all documents and mapped to its normal rank, the cell's place on a Hilbert curve is the sort key, and
 documents are laid end to end in that order.  Cutting this stream every
 ``CAPACITY`` words gives sequences that hold neighbouring documents.  The place
 of a document in the stream needs only the totals of the range partitions
@@ -13,7 +13,7 @@ Length is counted in words (see ``text``).
 Results for odd input:
 * null and empty texts, and texts without words, have length 0: they are listed
   with length 0 at their place and take no room;
-* texts longer than a sequence, or lying across a cut, have a row for each
+* very long texts count whole: texts longer than a sequence, or lying across a cut, have a row for each
   sequence they reach into; pieces of a document add up to its length;
 * ties of the key are ordered by id, then length (null ids first); repeated rows
   are packed as often as they occur;
@@ -36,22 +36,23 @@ DIMS = 3
 ORDER = 16
 BUCKETS = 4096
 CAPACITY = 2048
+_UNIT = 1 << 16
 
 _PROJECT = np.random.Generator(np.random.PCG64(7)).standard_normal((DIMS, BUCKETS)).astype(np.float32)
 
 
 def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Projected mean word vector of each text (DIMS rows) and its number of words."""
+    """Projected mean word vector of each text (DIMS rows) in units of 2^-16, and its number of words."""
     w = words(column)
     n = len(w.first) - 1
     count = w.counts
-    out = np.zeros((DIMS, n))
+    out = np.zeros((DIMS, n), np.int64)
     some = count > 0
     if some.any():
         bucket = (w.hash >> np.uint64(52)).astype(np.int64)
         for k in range(DIMS):
             total = np.add.reduceat(np.take(_PROJECT[k], bucket), w.first[:-1][some], dtype=np.float64)
-            out[k, some] = total / count[some]
+            out[k, some] = np.rint(total / count[some] * _UNIT)
     return out, count
 
 
@@ -96,6 +97,12 @@ def normal_rank(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-1.702 * np.clip(z, -12, 12)))
 
 
+def moments(n: int, total: list[int], squares: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation from whole sums."""
+    n = max(n, 1)
+    return np.array([t / n for t in total]), np.array([max(0, q * n - t * t) ** 0.5 / n for t, q in zip(total, squares)])
+
+
 def curve_keys(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
     side = 1 << ORDER
     z = (x - mean[:, None]) / np.where(std > 0, std, 1)[:, None]
@@ -107,11 +114,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     d = pick(docs, doc_id=id_col, text=text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
     dims = [f"x{k}" for k in range(DIMS)]
-    v = staged(d.mapInArrow(_vectors, f"doc_id {kind}, {', '.join(f'{k} double' for k in dims)}, n bigint"), "vectors")
+    v = staged(d.mapInArrow(_vectors, f"doc_id {kind}, {', '.join(f'{k} bigint' for k in dims)}, n bigint"), "vectors")
     some = v.where("n > 0")
-    s = some.agg(*(F.avg(k).alias(f"m_{k}") for k in dims), *(F.stddev_pop(k).alias(f"s_{k}") for k in dims)).first()
-    mean = np.array([s[f"m_{k}"] or 0.0 for k in dims])
-    std = np.array([s[f"s_{k}"] or 0.0 for k in dims])
+    exact = [F.col(k).cast("decimal(20,0)") for k in dims]
+    s = some.agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s_{k}") for k, x in zip(dims, exact)), *(F.sum(x * x).alias(f"q_{k}") for k, x in zip(dims, exact))).first()
+    mean, std = moments(s["n"], [int(s[f"s_{k}"] or 0) for k in dims], [int(s[f"q_{k}"] or 0) for k in dims])
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
