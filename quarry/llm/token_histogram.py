@@ -6,8 +6,14 @@ for every context limit at once: how many documents and tokens there are, which
 share is at most that long, and how many tokens remain if each document is cut
 at the limit.
 
-Results for odd input: null text has no length and isn't counted; empty text has
-length 0; other columns are never read; an empty table gives an empty histogram.
+The vocabulary file is shipped to the executors with the job; only the driver must have it.
+
+Results for odd input:
+* null text has no length and isn't counted; empty text has length 0;
+* very long texts are encoded whole; special strings of a vocabulary are plain text;
+* repeated rows and rows of equal length (ties) each count as a document;
+* ids aren't read, and neither are other columns, whatever their names;
+* an empty table gives an empty histogram, quantiles None and totals 0.
 """
 
 from __future__ import annotations
@@ -40,9 +46,11 @@ def encoder(path: str = VOCABULARY, pattern: str = PATTERN):
     return _ENCODERS[path, pattern]
 
 
-def _encode(path: str, pattern: str):
+def _encode(name: str, pattern: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        from pyspark import SparkFiles
+
+        enc = encoder(SparkFiles.get(name), pattern)
         for b in it:
             n = [None if t is None else len(enc.encode_ordinary(t)) for t in b.column(0).to_pylist()]
             u, c = np.unique(np.array([x for x in n if x is not None], np.int64), return_counts=True)
@@ -53,7 +61,8 @@ def _encode(path: str, pattern: str):
 
 def length_histogram(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, docs): documents by encoded length."""
-    part = pick(docs, t=text_col).mapInArrow(_encode(path, pattern), "n_tokens bigint, docs bigint")
+    docs.sparkSession.sparkContext.addFile(path)
+    part = pick(docs, t=text_col).mapInArrow(_encode(path.rpartition("/")[2], pattern), "n_tokens bigint, docs bigint")
     return part.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 
