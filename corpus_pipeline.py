@@ -3,6 +3,18 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and reread as the next one's
 docs.  All but the last return the columns of documents.
+
+Results for odd input, stage by stage; each operator's module says more:
+* null and empty texts pass the classifier (they have no score), are copies of one
+  another only if empty, are never near copies nor contaminated, and are packed with
+  length 0;
+* null ids: rows are told apart by file and place, so rows without an id, or with one
+  that others have, are judged by their own text; of copies, one with an id stays;
+* ties and repeated rows: one row of each text stays, the one with the smallest id;
+* very long texts count whole in every stage;
+* empty tables: without labels nothing is rejected, without a benchmark nothing is
+  contaminated, without documents there are no sequences;
+* further columns, whatever their names, are carried through to the last stage.
 """
 
 from __future__ import annotations

@@ -63,3 +63,17 @@ def test_run_on_empty_tables(spark, planted, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{planted}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_documents_pass_through(spark, planted, odd):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, stage by stage."""
+    docs = odd
+    left = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, planted)
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == odd.columns
+        left.append(collections.Counter(r["doc_id"] for r in docs.collect()))
+    assert left[1] == {1: 1, 3: 1, None: 2, 4: 1, 6: 1, 7: 1} or left[0][1] == 0
+    assert left[2] == left[3] and left[3][3] == 1 and left[3][4] == 1 and left[3][None] >= 1
+    assert set(left[4]) == set(left[3])
