@@ -31,7 +31,10 @@ def top_count(rows: DataFrame, key: str, k: int = 10) -> DataFrame:
 def average_by(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, avg_value, rank): means in falling order, ties by key."""
     a = rows.groupBy(key).agg(F.avg(value).alias("avg_value"))
-    return a.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("avg_value", 6)), key)))
+    from .features import numbered
+
+    d, _ = numbered(a, [F.desc(F.round("avg_value", 6)), key], "rank")
+    return d.withColumn("rank", F.col("rank").cast("int"))
 
 
 def layout(rows: DataFrame, bucket: Column) -> DataFrame:
@@ -43,6 +46,11 @@ def first_char_bucket(c: Column, n: int) -> Column:
     return F.pmod(F.ascii(F.substring(c.cast("string"), 1, 1)), F.lit(n))
 
 
+def placed(rows: DataFrame, bucket: Column, n: int) -> DataFrame:
+    """``rows`` in ``n`` physical partitions, each row in that of its bucket (0 to n - 1)."""
+    return rows.repartitionById(n, bucket.cast("int"))
+
+
 def physical_layout(rows: DataFrame) -> DataFrame:
     """(partition, n) of the physical partitions."""
     return rows.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))

@@ -59,11 +59,19 @@ def min_max(train: DataFrame, apply_to: DataFrame, columns: list[str]) -> DataFr
 
 
 def stratified_folds(rows: DataFrame, stratum: str, key: str, folds: int = 10) -> DataFrame:
-    """Adds fold (1..folds): each stratum spread evenly, in the order of a hash of the key."""
+    """Adds fold (1..folds): each stratum spread evenly, in the order of a hash of the key.
+
+    Rows are numbered by range over all strata, so a large stratum is no single task.
+    """
     from ..functions.scalar import text_key
 
-    w = Window.partitionBy(stratum).orderBy(text_key(F.col(key).cast("string")), key)
-    return rows.withColumn("fold", F.ntile(folds).over(w))
+    d, _ = numbered(rows.withColumn("_hash", text_key(F.col(key).cast("string"))), [stratum, "_hash", key], "_at")
+    each = d.groupBy(F.col(stratum).alias("_stratum")).agg(F.min("_at").alias("_lo"), F.count("*").alias("_m"))
+    d = d.join(each, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    at, small, larger = F.col("_at") - F.col("_lo"), F.floor(F.col("_m") / folds), F.pmod("_m", F.lit(folds))
+    head = larger * (small + 1)
+    fold = F.when(at < head, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - head) / F.greatest(small, F.lit(1))))
+    return d.select(*rows.columns, (fold + 1).cast("int").alias("fold"))
 
 
 def boosted_trees(train: DataFrame, test: DataFrame, features: list[str], label: str, keys: list[str], trees: int = 20, depth: int = 5, step: float = 0.1, subsample: float = 0.8, column_share: str = "0.5", min_rows: int = 10, seed: int = 7) -> DataFrame:

@@ -7,25 +7,50 @@ rounds and plans stay short.
 
 from __future__ import annotations
 
+import atexit
+import itertools
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a session on one machine without one gets a temporary one, a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
+        atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends the lineage at a checkpoint in the session's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def cooccurrence(pairs: DataFrame, node: str, via: str, threshold: int) -> DataFrame:
-    """(a, b, weight), a < b: nodes that share at least ``threshold`` values of ``via``."""
+    """(a, b, weight), a < b: nodes that share at least ``threshold`` values of ``via``.
+
+    With values in order of rarity, two nodes that share t values share one among
+    the first |s| - t + 1 of each, so only these meet, and values that nearly all
+    nodes have hardly do; the overlap is then counted for pairs that met.
+    """
     p = pairs.select(F.col(node).alias("n"), F.col(via).alias("v")).where("n is not null and v is not null").distinct()
-    x, y = p.select("v", F.col("n").alias("a")), p.select("v", F.col("n").alias("b"))
-    return x.join(y, "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= threshold)
+    often = p.groupBy("v").agg(F.count("*").alias("often"))
+    s = p.join(often, "v").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("s")).where(F.size("s") >= threshold)
+    s = cut(s.select("n", F.col("s.v").alias("s")))
+    first = s.select("n", F.explode(F.slice("s", F.lit(1), F.size("s") - threshold + 1)).alias("v"))
+    met = first.select("v", F.col("n").alias("a")).join(first.select("v", F.col("n").alias("b")), "v").where("a < b").select("a", "b").distinct()
+    both = met.join(s.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
+    w = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+    return both.select("a", "b", w.alias("weight")).where(F.col("weight") >= threshold)
 
 
 def cooccurrence_cross(pairs: DataFrame, node: str, via: str, threshold: int) -> DataFrame:
@@ -52,7 +77,7 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = nodes(edges).select("id", F.col("id").alias("label"))
     for k in range(rounds):
         votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        labels = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m")).select(F.col("src").alias("id"), (-F.col("m.l")).alias("label"))
+        labels = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select(F.col("src").alias("id"), F.col("m.label").alias("label"))
         if k % 3 == 2:
             labels = cut(labels)
     return labels
@@ -63,7 +88,7 @@ def communities(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
 
 
-def components(edges: DataFrame, extra_nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, extra_nodes: DataFrame | None = None) -> DataFrame:
     """(id, root): connected components named by their smallest node.
 
     Labels take the smallest neighbouring label and then that label's own label,
@@ -74,7 +99,7 @@ def components(edges: DataFrame, extra_nodes: DataFrame | None = None, max_round
     if extra_nodes is not None:
         ids = ids.union(extra_nodes.select("id")).distinct()
     cur = cut(ids.select("id", F.col("id").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(cur.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("near"))
         step = cur.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("r"))
         jump = step.join(step.select(F.col("id").alias("r"), F.col("r").alias("rr")), "r").select("id", "root", F.least("r", "rr").alias("new"))
@@ -83,22 +108,21 @@ def components(edges: DataFrame, extra_nodes: DataFrame | None = None, max_round
         cur = nxt.select("id", F.col("new").alias("root"))
         if not changed:
             return cur
-    raise RuntimeError("connected components did not converge")
 
 
-def shortest_paths(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame) -> DataFrame:
     """(s, v, dist, paths): distance and number of shortest paths for all connected pairs."""
     both = cut(both_ways(edges))
     front = nodes(edges).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"))
     seen = cut(front.select("s", "v", F.lit(0).alias("dist"), "paths"))
     front = seen
-    for d in range(1, max_depth + 1):
+    for d in itertools.count(1):
         step = front.join(both, front["v"] == both["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         front = cut(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("dist"), "paths"))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front))
-    raise RuntimeError(f"a path is longer than {max_depth}")
+    raise AssertionError
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
@@ -261,4 +285,7 @@ def girvan_newman(edges: DataFrame, max_rounds: int | None = None, adjacency: st
 
 def ranked(edges: DataFrame) -> DataFrame:
     """Adds rank: betweenness falling, then the edge."""
-    return edges.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("betweenness", 5)), "a", "b")))
+    from .features import numbered
+
+    d, _ = numbered(edges, [F.desc(F.round("betweenness", 5)), "a", "b"], "rank")
+    return d.withColumn("rank", F.col("rank").cast("int"))

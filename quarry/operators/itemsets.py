@@ -43,18 +43,18 @@ def frequent_pairs(pairs: DataFrame, support: int, buckets: int) -> DataFrame:
     """(a, b, n): pairs of frequent items that fall into a frequent bucket and are frequent themselves."""
     single = pairs.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("item")
     kept = pairs.join(single, "item", "left_semi")
-    # pairs are counted once; the bucket of a pair is the sum of its pairs' counts
-    counted = item_pairs(kept).groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("bucket", pair_bucket(F.col("a"), F.col("b"), buckets))
-    hot = counted.groupBy("bucket").agg(F.sum("n").alias("m")).where(F.col("m") >= support).select("bucket")
-    return counted.join(hot, "bucket", "left_semi").where(F.col("n") >= support).select("a", "b", "n")
+    # first pass: buckets alone, no key for each pair; at most ``buckets`` rows, which the second pass has at hand
+    both = item_pairs(kept).withColumn("bucket", pair_bucket(F.col("a"), F.col("b"), buckets))
+    hot = both.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") >= support).select("bucket")
+    return both.join(F.broadcast(hot), "bucket", "left_semi").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 
-def frequent_itemsets(pairs: DataFrame, support: int, max_size: int = 16) -> DataFrame:
+def frequent_itemsets(pairs: DataFrame, support: int) -> DataFrame:
     """(size, items, n): all itemsets in at least ``support`` baskets; items is a sorted array.
 
     Level k joins level k - 1 with itself on the first k - 2 items and keeps what
-    has all its (k - 1)-subsets frequent, then counts baskets by growing each
-    occurrence of the prefix.
+    has all its (k - 1)-subsets frequent, then grows each occurrence of a frequent set by
+    the items of the candidates on it that its basket holds.
     """
     from .graph import cut
 
@@ -63,7 +63,7 @@ def frequent_itemsets(pairs: DataFrame, support: int, max_size: int = 16) -> Dat
     # occurrences: which baskets hold which frequent set
     found = kept.select("basket", F.array("item").alias("items"))
     out, size = level.select(F.lit(1).alias("size"), "items", "n"), 1
-    while size < max_size:
+    while True:
         size += 1
         a = level.select(F.slice("items", 1, size - 2).alias("prefix"), F.col("items").alias("base"), F.element_at("items", -1).alias("x"))
         b = level.select(F.slice("items", 1, size - 2).alias("prefix"), F.element_at("items", -1).alias("y"))
@@ -73,9 +73,9 @@ def frequent_itemsets(pairs: DataFrame, support: int, max_size: int = 16) -> Dat
             subsets = cand.select("grown", F.explode(F.sequence(F.lit(0), F.lit(size - 3))).alias("skip")).select("grown", F.filter("grown", lambda v, i: i != F.col("skip")).alias("items"))
             whole = subsets.join(level.select("items"), "items", "left_semi").groupBy("grown").count().where(F.col("count") == size - 2).select("grown")
             cand = cand.join(whole, "grown", "left_semi")
-        # an occurrence grows by the later items of its basket, then candidates are picked out
-        more = found.join(kept.select("basket", F.col("item").alias("y")), "basket").where(F.col("y") > F.element_at("items", -1))
-        grown = cut(more.select("basket", F.concat("items", F.array("y")).alias("items")).join(cand.select(F.col("grown").alias("items")), "items", "left_semi"))
+        # an occurrence meets the candidates on its set; its basket must hold the new item
+        more = found.join(cand.select(F.col("base").alias("items"), "y"), "items").join(kept.select("basket", F.col("item").alias("y")), ["basket", "y"], "left_semi")
+        grown = cut(more.select("basket", F.concat("items", F.array("y")).alias("items")))
         level = cut(grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         if level.isEmpty():
             break

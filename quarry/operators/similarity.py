@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import jaccard, text_key, universal_hash
+from .features import numbered
+from .graph import cut
 
 HASHES, BANDS, ROWS = 50, 25, 2
 
@@ -16,6 +18,25 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), w.alias("token")).where("token <> ''")
 
 
+def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Representatives (id, tokens) of equal word sets, and (id, member) of the other texts with the same words.
+
+    Copies are no pairs of their own: a text that thousands repeat is one row.
+    """
+    words = F.array_sort(F.filter(F.array_distinct(F.split(F.lower(text_col), r"\s+")), lambda w: w != ""))
+    d = docs.select(F.col(id_col).alias("id"), words.alias("tokens")).where("id is not null and size(tokens) > 0")
+    d = cut(d.withColumn("set", F.unhex(F.sha2(F.concat_ws(" ", "tokens"), 256))))
+    first = d.groupBy("set").agg(F.min("id").alias("rep"))
+    of = d.select("id", "set").join(first, "set")
+    reps = d.join(first.select(F.col("rep").alias("id"), F.col("set").alias("_s")), "id").where("set = _s").select("id", "tokens")
+    return cut(reps.dropDuplicates(["id"])), of.where("id <> rep").select(F.col("rep").alias("id"), F.col("id").alias("member"))
+
+
+def with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, similarity) of representatives, and each with its members, at similarity 1."""
+    return pairs.unionByName(members.select(F.col("id").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 def signatures(sets: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(id, n, h0 .. h49): all minima in one grouped pass with partial aggregation."""
     x = sets.withColumn("x", text_key(F.col("token")))
@@ -26,39 +47,42 @@ def candidate_pairs(sig: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
     """(a, b), a < b: pairs that agree in all rows of some band."""
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"h{k * rows + r}") for r in range(rows))) for k in range(bands)))
     banded = sig.select("id", F.explode(keys).alias("key"))
-    # only shared keys meet
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    banded = banded.join(shared, "key", "left_semi")
     x, y = banded.select("key", F.col("id").alias("a")), banded.select("key", F.col("id").alias("b"))
     return x.join(y, "key").where("a < b").select("a", "b").distinct()
 
 
-def with_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the given pairs."""
-    members = sets.groupBy("id").agg(F.collect_set("token").alias("s"))
-    j = pairs.join(members.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(members.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def with_jaccard(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame:
+    """(a, b, similarity) of the given pairs, from sets (id, ``column``)."""
+    j = pairs.join(members.select(F.col("id").alias("a"), F.col(column).alias("sa")), "a").join(members.select(F.col("id").alias("b"), F.col(column).alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return j.select("a", "b", jaccard(inter, F.size("sa"), F.size("sb")).alias("similarity"))
 
 
-def lsh_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity) at or above the threshold, among LSH candidates."""
-    return with_jaccard(candidate_pairs(signatures(sets)), sets).where(F.col("similarity") >= threshold)
+def lsh_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity) at or above the threshold, among LSH candidates, from sets (id, tokens)."""
+    sig = cut(signatures(reps.select("id", F.explode("tokens").alias("token"))))
+    return with_jaccard(candidate_pairs(sig), reps, "tokens").where(F.col("similarity") >= threshold)
 
 
-def exact_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity) at or above the threshold, all of them.
+def exact_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity) at or above the threshold, all of them, from sets (id, tokens).
 
     Prefix filter: with tokens in order of rarity, two sets within the threshold
-    share a token among the first |s| - ceil(t |s|) + 1 of each.
+    share a token among the first |s| - ceil(t |s|) + 1 of the larger and the first
+    |s| - ceil(2 t / (1 + t) |s|) + 1 of the smaller.  A pair that meets at a place
+    where too few tokens follow in either set is dropped at once.
     """
-    rare = sets.groupBy("token").agg(F.count("*").alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", "token")))
-    s = sets.join(rare, "token").groupBy("id").agg(order.alias("s"), F.count("*").alias("n"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = s.select("id", "n", F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("t")).select("id", "n", F.col("t.token").alias("token"))
-    x = prefix.select("token", F.col("id").alias("a"), F.col("n").alias("na"))
-    y = prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    size = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & size).select("a", "b").distinct()
-    return with_jaccard(pairs, sets).where(F.col("similarity") >= threshold)
+    t = threshold
+    each = reps.select("id", F.explode("tokens").alias("token"))
+    rare, _ = numbered(each.groupBy("token").agg(F.count("*").alias("df")), ["df", "token"], "rank")
+    s = cut(each.join(rare.select("token", F.col("rank").cast("int").alias("rank")), "token").groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("s"), F.count("*").alias("n")))
+    reach = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).cast("int")
+    listed = lambda share: s.select("id", "n", F.posexplode(F.slice("s", F.lit(1), reach(share))).alias("at", "token"))
+    x = listed(t).select("token", F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
+    y = listed(2 * t / (1 + t)).select("token", F.col("id").alias("q"), F.col("n").alias("nq"), F.col("at").alias("aq"))
+    larger = (F.col("np") > F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q")))
+    size = F.col("nq") >= F.col("np") * t - 1e-9
+    follow = F.least(F.col("np") - F.col("ap"), F.col("nq") - F.col("aq")) >= F.lit(t / (1 + t)) * (F.col("np") + F.col("nq")) - 1e-9
+    # ``follow`` counts what comes from here on, so it holds at the first common token of a pair within the threshold
+    pairs = x.join(y, "token").where(larger & size & follow).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return with_jaccard(pairs, s, "s").where(F.col("similarity") >= t)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators import explore, features
+from ..operators import explore, features, recommend
 from ..sources.catalog import Catalog
 from .registry import query
 
@@ -102,10 +102,12 @@ def dense_index(spark, sf_dir):
     return features.dense_index(Catalog(spark, sf_dir).table("part").select(F.col("p_brand").alias("brand")), "brand")
 
 
-@query("anti_join", "SELECT c_custkey AS cust FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_join", "SELECT c_custkey AS cust FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')")
 def anti_join(spark, sf_dir):
+    """Customers who have ordered nothing since 1998."""
     c = Catalog(spark, sf_dir)
-    return c.table("customer").select(F.col("c_custkey").alias("cust")).join(c.table("orders").select(F.col("o_custkey").alias("cust")), "cust", "left_anti")
+    late = c.table("orders").where(F.col("o_orderdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    return c.table("customer").select(F.col("c_custkey").alias("cust")).join(late.select(F.col("o_custkey").alias("cust")), "cust", "left_anti")
 
 
 @query("union_distinct", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -130,3 +132,27 @@ def collected_sets(spark, sf_dir):
 """)
 def splits(spark, sf_dir):
     return features.equal_splits(Catalog(spark, sf_dir).table("embeddings").select(F.col("vec_id").alias("id")), "id")
+
+
+@query("physical_layout", """
+    SELECT bucket::INT AS partition, count(*)::BIGINT AS n FROM (SELECT c_nationkey % 8 AS bucket FROM customer) GROUP BY 1
+""")
+def physical_layout(spark, sf_dir):
+    """Rows of each physical partition when customers are placed by nation."""
+    c = Catalog(spark, sf_dir).table("customer").select("c_custkey", "c_nationkey")
+    return explore.physical_layout(explore.placed(c, F.pmod("c_nationkey", F.lit(8)), 8)).select(F.col("partition").cast("int").alias("partition"), "n")
+
+
+@query("last_ratings", """
+    SELECT item, count(*)::BIGINT AS n, string_agg(u || ':' || q, ',' ORDER BY u || ':' || q) AS last FROM (
+        SELECT p_brand AS item, o_custkey::VARCHAR AS u, arg_max(l_quantity::BIGINT::VARCHAR, {'d': o_orderdate, 'o': l_orderkey, 'l': l_linenumber, 'q': l_quantity}) AS q
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) GROUP BY item
+""")
+def last_ratings(spark, sf_dir):
+    """A map from customer to the last quantity for each brand."""
+    c = Catalog(spark, sf_dir)
+    j = c.table("lineitem").join(c.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    j = j.select(F.col("p_brand").alias("item"), F.col("o_custkey").cast("string").alias("u"), F.col("l_quantity").cast("bigint").cast("string").alias("q"), "o_orderdate", "l_orderkey", "l_linenumber", "l_quantity")
+    m = recommend.last_by_key(j, "item", "u", "q", ["o_orderdate", "l_orderkey", "l_linenumber", "l_quantity"])
+    pairs = F.array_sort(F.transform(F.map_entries("map"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
+    return m.select("item", F.size("map").cast("bigint").alias("n"), F.concat_ws(",", pairs).alias("last"))

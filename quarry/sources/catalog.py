@@ -32,9 +32,11 @@ class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        """A Parquet table."""
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+    def table(self, name: str, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
+        """A Parquet table, or some of its columns, or any ``rows`` of its rows."""
+        d = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        d = d.select(*columns) if columns else d
+        return d if rows is None else d.limit(rows)
 
     def json(self, name: str, schema: T.StructType) -> DataFrame:
         """JSON lines; keys that a line lacks are null."""
@@ -67,27 +69,11 @@ def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def asks(stream: DataFrame, order: str, size: int) -> DataFrame:
-    """A table as a stream of batches of ``size`` rows: seq from 1 on in the given order, batch from 0 on.
+    """A table as a stream of batches of ``size`` rows: seq from 1 on in the given order, of any type, batch from 0 on.
 
-    A global row number without a single-task sort: rows are sorted by range,
-    numbered within their partition, and moved on by the size of the partitions
-    before.
+    A global row number without a single-task sort (``features.numbered``).
     """
-    spark = stream.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = stream.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    if low is None:
-        return stream.withColumns({"seq": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint")}).where("false")
-    width = max(1, -(-(high - low + 1) // n))
-    part = F.floor((F.col(order) - low) / F.lit(width))
-    counts = {r["p"]: r["n"] for r in stream.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    base, before = [], 0
-    for p in sorted(counts):
-        base.append((p, before))
-        before += counts[p]
-    from pyspark.sql import Window
-
-    offsets = spark.createDataFrame(base, "_p bigint, _base bigint")
-    d = stream.withColumn("_p", part).join(F.broadcast(offsets), "_p")
-    d = d.withColumn("seq", F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    return d.withColumn("batch", F.floor((F.col("seq") - 1) / F.lit(size))).drop("_p", "_base")
+    from ..operators.features import numbered
+
+    d, _ = numbered(stream, [order], "seq")
+    return d.withColumn("batch", F.floor((F.col("seq") - 1) / F.lit(size)))

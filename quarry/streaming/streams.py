@@ -6,7 +6,6 @@ its result over as a written table in the session's shared folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,9 @@ from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-stream-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quarry-stream/{label}-{uuid.uuid4().hex}"
+    from ..operators.graph import shared_folder
+
+    return f"{shared_folder(spark).rstrip('/')}/quarry-stream/{label}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 1) -> DataFrame:

@@ -104,6 +104,25 @@ def test_cooccurrence_ignores_nulls_and_repeats(spark):
     assert {tuple(r) for r in graph.cooccurrence(p, "n", "v", 2).collect()} == want == {tuple(r) for r in graph.cooccurrence_cross(p, "n", "v", 2).collect()}
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 4, 9])
+def test_cooccurrence_equals_the_cross_product(spark, threshold):
+    r = random.Random(threshold)
+    rows = [(f"n{i}", min(r.randrange(30), r.randrange(30))) for i in range(60) for _ in range(r.randrange(1, 25))]
+    p = spark.createDataFrame(rows, "n string, v int")
+    got = {tuple(x) for x in graph.cooccurrence(p, "n", "v", threshold).collect()}
+    assert got == {tuple(x) for x in graph.cooccurrence_cross(p, "n", "v", threshold).collect()} and got
+
+
+def test_labels_of_names_and_long_paths(spark):
+    """String ids; and a path longer than any bound on rounds that there once was."""
+    e = spark.createDataFrame([(f"u{a}", f"u{b}") for a, b in TRIANGLES], "a string, b string")
+    labels = {r.id: r.label for r in graph.label_propagation(e).collect()}
+    assert labels.keys() == {f"u{i}" for i in range(1, 7)} and labels["u1"] == labels["u2"] == labels["u3"] and labels["u4"] == labels["u5"] == labels["u6"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(130)], "a bigint, b bigint")
+    assert {r.root for r in graph.components(path).collect()} == {0}
+    assert graph.shortest_paths(edges_of(spark, [(i, i + 1) for i in range(66)])).agg(F.max("dist")).first()[0] == 66
+
+
 def brute_itemsets(baskets, support):
     out = {}
     items = sorted({i for b in baskets.values() for i in b})
@@ -126,6 +145,24 @@ def test_itemsets_equal_brute_force(spark):
             assert {(r.size, tuple(r["items"]), r.n) for r in f(p, support).collect()} == want
 
 
+def test_itemsets_of_more_than_sixteen_items(spark):
+    rows = [(b, f"i{k:02d}") for b in range(3) for k in range(17)]
+    got = itemsets.frequent_itemsets(itemsets.baskets(spark.createDataFrame(rows, "b int, i string"), "b", "i").where("item < 'i05'"), 3).collect()
+    assert max(r.size for r in got) == 5 and len(got) == 31
+    import inspect
+
+    assert "max_size" not in inspect.signature(itemsets.frequent_itemsets).parameters
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1000])
+def test_frequent_pairs_equal_brute_force(spark, buckets):
+    r = random.Random(3)
+    baskets = {i: {x for x in range(12) if r.random() < 0.35} for i in range(50)}
+    p = spark.createDataFrame([(i, x) for i, b in baskets.items() for x in b], "basket int, item int")
+    got = {(x.a, x.b): x.n for x in itemsets.frequent_pairs(p, 8, buckets).collect()}
+    assert got == {c: n for c, n in brute_itemsets(baskets, 8).items() if len(c) == 2}
+
+
 def test_frequent_singles_without_pairs(spark):
     p = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "basket int, item int")
     assert itemsets.frequent_pairs(p, 2, 7).count() == 0
@@ -136,7 +173,9 @@ def test_lsh_finds_what_is_similar(spark):
     r = random.Random(9)
     base = [[f"t{r.randrange(500)}" for _ in range(40)] for _ in range(30)]
     docs = [(i, " ".join(t)) for i, t in enumerate(base)] + [(100 + i, " ".join(t[:34] + [f"x{i}{k}" for k in range(4)])) for i, t in enumerate(base)]
-    sets = similarity.token_sets(spark.createDataFrame(docs + [(500, None), (501, "")], "id int, text string"), "id", "text")
+    copies = [(900 + i, base_text) for i, (_, base_text) in enumerate(docs[:5])] + [(950, docs[0][1].upper())]
+    sets, members = similarity.classes(spark.createDataFrame(docs + copies + [(500, None), (501, ""), (None, "x")], "id int, text string"), "id", "text")
+    assert {tuple(x) for x in members.collect()} == {(i, 900 + i) for i in range(5)} | {(0, 950)}
     exact = {(x.a, x.b): x.similarity for x in similarity.exact_pairs(sets).collect()}
     words = {i: set(t.split()) for i, t in docs}
     want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in words for b in words if a < b}
@@ -145,6 +184,21 @@ def test_lsh_finds_what_is_similar(spark):
     assert got <= set(exact) and len(got) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_exact_pairs_of_sets_of_all_sizes(spark, threshold):
+    r = random.Random(11)
+    words = {i: {f"t{min(r.randrange(40), r.randrange(40))}" for _ in range(r.choice([1, 2, 5, 12, 30]))} for i in range(150)}
+    sets, members = similarity.classes(spark.createDataFrame([(i, " ".join(sorted(w))) for i, w in words.items()], "id int, text string"), "id", "text")
+    got = {(x.a, x.b): x.similarity for x in similarity.with_members(similarity.exact_pairs(sets, threshold), members).collect()}
+    first = {}
+    for i, w in words.items():
+        first.setdefault(frozenset(w), i)
+    reps = sorted(first.values())
+    want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a in reps for b in reps if a < b}
+    want = {k: v for k, v in want.items() if v >= threshold} | {(first[frozenset(w)], i): 1.0 for i, w in words.items() if first[frozenset(w)] != i}
+    assert got == pytest.approx(want)
+
+
 def test_similarity_of_few_raters(spark):
     rows = [("u", "a", 5.0), ("u", "b", 1.0), ("v", "c", 2.0), ("v", "d", 4.0), ("w", "c", 3.0), ("w", "d", 2.0), ("x", "e", 3.0), ("y", "e", 3.0), ("x", "f", 1.0), ("y", "f", 2.0)]
     s = {(r.i, r.j): (r.n, r.sim) for r in recommend.item_similarity(spark.createDataFrame(rows, "user string, item string, rating double")).collect()}
@@ -240,6 +294,66 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.community_lines(m).first().line == "'x', 'y'"
 
 
+def test_more_sources_and_sinks(spark, tmp_path):
+    d = catalog.from_rows(spark, [(2, "a, b", None), (1, 'say "x"', 0.5)], "id int, text string, x double")
+    assert d.count() == 2 and d.columns == ["id", "text", "x"]
+    sinks.json_lines(d, f"{tmp_path}/j")
+    assert sorted(map(tuple, spark.read.schema("id int, text string, x double").json(f"{tmp_path}/j").collect())) == [(1, 'say "x"', 0.5), (2, "a, b", None)]
+    sinks.csv(d, f"{tmp_path}/c")
+    assert sorted(map(tuple, spark.read.option("header", True).option("escape", "\\").csv(f"{tmp_path}/c").select("id", "text").collect())) == [("1", 'say "x"'), ("2", "a, b")]
+    sinks.parquet(d, f"{tmp_path}/t.parquet")
+    c = catalog.Catalog(spark, str(tmp_path))
+    assert c.table("t", ["id"]).columns == ["id"] and c.table("t", rows=1).count() == 1 and c.table("t").count() == 2
+    rounds = spark.createDataFrame([(2, 30, 1, 4, 5), (1, 10, 0, 0, 7)], "round int, ds_points int, cs_clusters int, cs_points int, rs_points int")
+    sinks.cluster_report(rounds, spark.createDataFrame([(9, -1), (3, 0)], "id int, cluster int"), f"{tmp_path}/r.txt")
+    assert (tmp_path / "r.txt").read_text() == "The intermediate results:\nRound 1: 10,0,0,7\nRound 2: 30,1,4,5\n\nThe clustering results:\n3,0\n9,-1\n"
+    assert features.drop_columns(d, ["x", "none"]).columns == ["id", "text"]
+    sinks.text_lines(d.select(F.col("text").alias("line"), "id"), f"{tmp_path}/lines", "id")
+    assert [x.value for x in spark.read.text(f"{tmp_path}/lines").collect()] == ['say "x"', "a, b"]
+    got = {r.partition: r.n for r in explore.physical_layout(explore.placed(spark.range(100), F.pmod("id", F.lit(3)), 3)).collect()}
+    assert got == {0: 34, 1: 33, 2: 33}
+
+
+def test_batches_in_the_order_of_strings_and_of_skewed_numbers(spark):
+    names = [f"n{i * 7 % 1000:04d}" for i in range(1000)]
+    st = catalog.asks(spark.createDataFrame([(x,) for x in names], "k string"), "k", 100)
+    assert [(r.k, r.seq, r.batch) for r in st.orderBy("seq").collect()] == [(k, i + 1, i // 100) for i, k in enumerate(sorted(names))]
+    skewed = [10**12] + list(range(999))
+    st = catalog.asks(spark.createDataFrame([(x,) for x in skewed], "k bigint"), "k", 100)
+    assert [r.k for r in st.orderBy("seq").collect()] == sorted(skewed)
+    assert catalog.asks(spark.createDataFrame([], "k bigint"), "k", 5).count() == 0
+
+
+def test_neighbours_or_means(spark):
+    train = spark.createDataFrame([("u", f"i{k}", float(k % 5 + 1)) for k in range(6)] + [("v", f"i{k}", float(k % 4 + 1)) for k in range(6)] + [("w", "i0", 2.0)], "user string, item string, rating double")
+    test = spark.createDataFrame([("u", "new"), ("none", "i0"), ("w", "i3"), ("none", "new"), ("u", "i1")], "user string, item string")
+    p = {(r.user, r.item): r.prediction for r in recommend.item_cf_means(train, test, neighbours=3, least=4).collect()}
+    assert p["u", "new"] == pytest.approx(np.mean([1, 2, 3, 4, 5, 1])) and p["none", "i0"] == pytest.approx(4 / 3) and p["w", "i3"] == 2.0 and p["none", "new"] == 3.0
+    # all neighbours of i1 share two raters without spread in common or weigh their correlation; best three decide
+    assert 1 <= p["u", "i1"] <= 5
+    few = {(r.user, r.item): r.prediction for r in recommend.item_cf_means(train, test, neighbours=3, least=99).collect()}
+    assert few["u", "i1"] == pytest.approx(np.mean([1, 2, 3, 4, 5, 1]))
+
+
+def test_last_value_of_a_key_wins(spark):
+    d = spark.createDataFrame([("a", "x", 1, 1), ("a", "x", 9, 3), ("a", "x", 5, 2), ("a", "y", 4, 1), ("b", "x", 7, 1)], "g string, k string, v int, t int")
+    assert {r.g: r["map"] for r in recommend.last_by_key(d, "g", "k", "v", ["t"]).collect()} == {"a": {"x": 9, "y": 4}, "b": {"x": 7}}
+
+
+def test_review_mart_of_filled_sources(spark):
+    c = catalog
+    row = lambda schema, **v: spark.createDataFrame([{f.name: v.get(f.name) for f in schema.fields}], schema)
+    rev = row(c.REVIEW, user_id="u", business_id="b", stars=4.0, useful=2, funny=1, cool=0)
+    usr = row(c.USER, user_id="u", review_count=7, useful=3, funny=2, cool=1, fans=5, average_stars=3.25, elite="2015,2016", friends="x, y, z", yelping_since="2010-01-01 00:00:00", **{f"compliment_{k}": 2 for k in c._COMPLIMENTS})
+    bus = row(c.BUSINESS, business_id="b", stars=2.5, review_count=11, is_open=1, categories="A, B", **({"attributes": {"WiFi": "no", "Bar": "yes"}} if "map" in c.BUSINESS["attributes"].dataType.simpleString() else {}))
+    tip = row(c.TIP, user_id="u", business_id="b", likes=3)
+    img = row(c.PHOTO, business_id="b", label="food")
+    m = features.review_mart(spark.createDataFrame([("u", "b", 4.0)], "user_id string, business_id string, rating double"), rev, usr, bus, tip, img, as_of="2020-01-01").first()
+    assert (m.review_avg_stars, m.useful, m.usr_review_count, m.usr_fans, m.usr_avg_stars, m.num_elite, m.num_friends, m.usr_avg_comp) == (4.0, 2.0, 7, 5, 3.25, 2, 3, 2.0)
+    assert (m.bus_avg_stars, m.bus_review_count, m.bus_is_open, m.num_categories, m.likes, m.n_tips, m.num_cat, m.num_img, m.rating) == (2.5, 11, 1, 2, 3, 1, 1, 1, 4.0)
+    assert m.membership_years == pytest.approx(10, abs=0.02)
+
+
 def test_review_mart_defaults(spark):
     c = catalog
     pairs = spark.createDataFrame([("u", "b", 4.0), ("none", "none", None)], "user_id string, business_id string, rating double")

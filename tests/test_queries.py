@@ -8,7 +8,7 @@ from tests.oracle import check
 
 SMALL = "/root/testdata/sf0.001"
 #: Empty on the smallest tables, or about chance below the graph's threshold there.
-GRAPH = {"cooc_edges", "cooc_cross", "nodes", "label_prop", "communities", "components", "betweenness", "modularity"}
+GRAPH = {"cooc_edges", "cooc_cross", "nodes", "label_prop", "label_prop_strings", "communities", "components", "betweenness", "modularity"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLE) - GRAPH))
