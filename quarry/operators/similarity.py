@@ -37,18 +37,26 @@ def with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.unionByName(members.select(F.col("id").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("similarity")))
 
 
+def ranked_sets(reps: DataFrame) -> DataFrame:
+    """(id, s, n): each set as sorted whole numbers, the rank of its tokens in order of rarity."""
+    each = reps.select("id", F.explode("tokens").alias("token"))
+    rare, _ = numbered(each.groupBy("token").agg(F.count("*").alias("df")), ["df", "token"], "rank")
+    return cut(each.join(rare.select("token", F.col("rank").cast("int").alias("rank")), "token").groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("s"), F.count("*").alias("n")))
+
+
 def signatures(sets: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(id, n, h0 .. h49): all minima in one grouped pass with partial aggregation."""
     x = sets.withColumn("x", text_key(F.col("token")))
     return x.groupBy("id").agg(F.count("*").alias("n"), *(F.min(universal_hash(F.col("x"), i, 15_485_863)).alias(f"h{i}") for i in range(hashes)))
 
 
-def candidate_pairs(sig: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b), a < b: pairs that agree in all rows of some band."""
+def candidate_pairs(sig: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = 0.0) -> DataFrame:
+    """(a, b), a < b: pairs that agree in all rows of some band, but those whose sizes alone rule out the threshold."""
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"h{k * rows + r}") for r in range(rows))) for k in range(bands)))
-    banded = sig.select("id", F.explode(keys).alias("key"))
-    x, y = banded.select("key", F.col("id").alias("a")), banded.select("key", F.col("id").alias("b"))
-    return x.join(y, "key").where("a < b").select("a", "b").distinct()
+    banded = sig.select("id", "n", F.explode(keys).alias("key"))
+    x, y = banded.select("key", F.col("id").alias("a"), F.col("n").alias("na")), banded.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
+    size = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & size).select("a", "b").distinct()
 
 
 def with_jaccard(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame:
@@ -61,7 +69,7 @@ def with_jaccard(pairs: DataFrame, members: DataFrame, column: str) -> DataFrame
 def lsh_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b, similarity) at or above the threshold, among LSH candidates, from sets (id, tokens)."""
     sig = cut(signatures(reps.select("id", F.explode("tokens").alias("token"))))
-    return with_jaccard(candidate_pairs(sig), reps, "tokens").where(F.col("similarity") >= threshold)
+    return with_jaccard(candidate_pairs(sig, threshold=threshold), ranked_sets(reps), "s").where(F.col("similarity") >= threshold)
 
 
 def exact_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -73,9 +81,7 @@ def exact_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
     where too few tokens follow in either set is dropped at once.
     """
     t = threshold
-    each = reps.select("id", F.explode("tokens").alias("token"))
-    rare, _ = numbered(each.groupBy("token").agg(F.count("*").alias("df")), ["df", "token"], "rank")
-    s = cut(each.join(rare.select("token", F.col("rank").cast("int").alias("rank")), "token").groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("s"), F.count("*").alias("n")))
+    s = ranked_sets(reps)
     reach = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).cast("int")
     listed = lambda share: s.select("id", "n", F.posexplode(F.slice("s", F.lit(1), reach(share))).alias("at", "token"))
     x = listed(t).select("token", F.col("id").alias("p"), F.col("n").alias("np"), F.col("at").alias("ap"))
