@@ -53,8 +53,8 @@ def frequent_itemsets(pairs: DataFrame, support: int) -> DataFrame:
     """(size, items, n): all itemsets in at least ``support`` baskets; items is a sorted array.
 
     Level k joins level k - 1 with itself on the first k - 2 items and keeps what
-    has all its (k - 1)-subsets frequent, then grows each occurrence of a frequent set by
-    the items of the candidates on it that its basket holds.
+    has all its (k - 1)-subsets frequent, then counts baskets by growing each
+    occurrence of a frequent set within its basket.
     """
     from .graph import cut
 
@@ -73,9 +73,9 @@ def frequent_itemsets(pairs: DataFrame, support: int) -> DataFrame:
             subsets = cand.select("grown", F.explode(F.sequence(F.lit(0), F.lit(size - 3))).alias("skip")).select("grown", F.filter("grown", lambda v, i: i != F.col("skip")).alias("items"))
             whole = subsets.join(level.select("items"), "items", "left_semi").groupBy("grown").count().where(F.col("count") == size - 2).select("grown")
             cand = cand.join(whole, "grown", "left_semi")
-        # an occurrence meets the candidates on its set; its basket must hold the new item
-        more = found.join(cand.select(F.col("base").alias("items"), "y"), "items").join(kept.select("basket", F.col("item").alias("y")), ["basket", "y"], "left_semi")
-        grown = cut(more.select("basket", F.concat("items", F.array("y")).alias("items")))
+        # an occurrence grows by the later items of its basket, then candidates are picked out
+        more = found.join(kept.select("basket", F.col("item").alias("y")), "basket").where(F.col("y") > F.element_at("items", -1))
+        grown = cut(more.select("basket", F.concat("items", F.array("y")).alias("items")).join(cand.select(F.col("grown").alias("items")), "items", "left_semi"))
         level = cut(grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         if level.isEmpty():
             break
