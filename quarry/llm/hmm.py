@@ -21,10 +21,13 @@ matrices, and moves across cuts are counted.
 
 From a start in which all states are alike, the likelihood stays on a plateau for
 many rounds, and the model is a unigram model.  So the first start is one in which
-states differ, and it is trained on a sample of some ``SAMPLE`` words until it has
-converged.  That is only where training starts: rounds over the whole corpus follow,
-as many as it takes until one gains less than ``TOLERANCE`` nats a word.  Training
-works in single precision, scoring in double.
+states differ.  It is fitted to the counts, over the whole corpus, of which of the
+``PAIRED`` most frequent symbols follows which: a table of fixed size, on which an
+iteration takes milliseconds, so the best of ``_TRIES`` random starts is taken.  The
+other symbols begin with the same probability in all states.  That is only where
+training starts: rounds over the whole corpus and all symbols follow, as many as it
+takes until one gains less than ``TOLERANCE`` nats a word.  Nothing is sampled.
+Training works in single precision, scoring in double.
 
 Results for odd input:
 * null, empty and wordless texts have no symbols: log-likelihood 0 over 0 words,
@@ -38,7 +41,7 @@ Results for odd input:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,17 +59,21 @@ FREQUENT = 12288
 CUT = 1 << 15
 SMOOTH = 0.01
 TOLERANCE = 1e-3
-SAMPLE = 1 << 20
-#: Rounds on the sample before a small gain counts as convergence; until then it may be the plateau.
-_PLATEAU = 30
+#: Symbols whose pairs are counted for the start.
+PAIRED = 1024
+#: Random starts of the fit to pairs.
+_TRIES = 8
+#: Iterations of that fit before a small gain counts as convergence; until then it may be the plateau.
+_PLATEAU = 50
 _BLOCK = 1024
+#: Counts sent as one vector.
+_CELLS = 1 << 15
 _TOKENS = 1 << 19
 #: Documents of more words wait for others as long, so that steps are shared.
 _LONG = 1024
-#: Words of a run in the sample.
-_RUN = 256
 #: Occurrences that every word of a class, and one unknown word, counts as having besides its own.
 _PRIOR = 0.5
+_SENT = "block int, part int, v array<double>"
 
 
 @dataclass(frozen=True)
@@ -305,6 +312,12 @@ def tail_likelihood(rows: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFr
     return said.groupBy("row").agg(F.sum(F.coalesce("ll", F.lit(middle if middle is not None else 0.0))).alias("tail_ll"))
 
 
+def _sent(block: list[int], part: list[int], v: list[np.ndarray]) -> pa.RecordBatch:
+    """Vectors by block and part, as ``_summed`` adds them up."""
+    end = np.cumsum([0, *(len(x) for x in v)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(end), pa.array(np.concatenate(v), pa.float64()))], ["block", "part", "v"])
+
+
 def _count(m: Model):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -337,8 +350,7 @@ def _count(m: Model):
         if n:
             blocks = [emit[i : i + _BLOCK].ravel() for i in range(0, len(emit), _BLOCK)]
             head = np.concatenate([[ll, n], start, move.ravel()])
-            part = np.full(len(blocks) + 1, TaskContext.get().partitionId(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blocks)), pa.int32()), pa.array(part), pa.array([x.tolist() for x in [head, *blocks]], pa.list_(pa.float64()))], ["block", "part", "v"])
+            yield _sent(list(range(-1, len(blocks))), [TaskContext.get().partitionId()] * (len(blocks) + 1), [head, *blocks])
 
     return run
 
@@ -355,14 +367,14 @@ def _add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[k] = total[k] + x if k in total else x.copy()
             part[k] = min(p, part.get(k, p))
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([part[k] for k in total], pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["block", "part", "v"])
+        yield _sent(list(total), [part[k] for k in total], list(total.values()))
 
 
 def _summed(part: DataFrame, tasks: int) -> dict[int, np.ndarray]:
     """Sums by block of (block, part, v) from ``tasks`` tasks, in two steps of about sqrt(tasks) vectors each."""
-    row, fan = "block int, part int, v array<double>", max(2, int(tasks**0.5))
-    part = part.repartition("block", F.floor(F.col("part") / fan)).mapInArrow(_add, row)
-    return {r["block"]: np.array(r["v"]) for r in part.repartition("block").mapInArrow(_add, row).collect()}
+    fan = max(2, int(tasks**0.5))
+    part = part.repartition("block", F.floor(F.col("part") / fan)).mapInArrow(_add, _SENT)
+    return {r["block"]: np.array(r["v"]) for r in part.repartition("block").mapInArrow(_add, _SENT).collect()}
 
 
 def _renewed(start: np.ndarray, move: np.ndarray, emit: np.ndarray, smooth: float) -> Model:
@@ -370,38 +382,88 @@ def _renewed(start: np.ndarray, move: np.ndarray, emit: np.ndarray, smooth: floa
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def _tally(tokens: DataFrame, cells: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each of ``cells`` numbers occurs among those that ``of`` makes of symbols, starts and sizes of documents."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n = np.zeros(cells, np.int64)
+        for _, flat, first, size in _lists(it, 0):
+            n += np.bincount(of(flat, first, size), minlength=cells)
+        if n.any():
+            blocks = [n[i : i + _CELLS] for i in range(0, cells, _CELLS)]
+            yield _sent(list(range(len(blocks))), [TaskContext.get().partitionId()] * len(blocks), blocks)
+
+    only = tokens.select("symbols")
+    got = _summed(only.mapInArrow(run, _SENT), only.rdd.getNumPartitions())
+    return np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(cells)
+
+
+def symbol_counts(tokens: DataFrame, symbols: int = SYMBOLS) -> np.ndarray:
+    """Occurrences of every symbol."""
+    return _tally(tokens, symbols, lambda flat, first, size: flat)
+
+
 def unigram(tokens: DataFrame, symbols: int = SYMBOLS, smooth: float = SMOOTH) -> np.ndarray:
     """Share of every symbol."""
-    n = np.full(symbols, smooth)
-    for r in tokens.select(F.explode("symbols").alias("s")).groupBy("s").count().collect():
-        n[r["s"]] += r["count"]
+    n = symbol_counts(tokens, symbols) + smooth
     return n / n.sum()
 
 
-def warm_start(tokens: DataFrame, states: int = STATES, symbols: int = SYMBOLS, smooth: float = SMOOTH, tolerance: float = TOLERANCE, sample: int = SAMPLE) -> Model:
-    """A model converged on some ``sample`` words, in runs drawn by their hash; all words if there are no more."""
-    m = initial(states, symbols)
-    n = tokens.agg(F.sum(F.size("symbols")).alias("n")).first()["n"] or 0
-    if not n:
-        return m
-    # runs, not documents, so that one long document isn't all of it
-    runs = tokens.where(F.size("symbols") > 0).select(F.expr(f"explode(transform(sequence(1, size(symbols), {_RUN}), i -> slice(symbols, i, {_RUN})))").alias("run"))
-    share = max(1, int(n * 1000 // sample))  # in thousandths
-    some = [np.array(r["run"], np.int32) for r in runs.where(F.pmod(F.xxhash64("run"), F.lit(share)) < 1000).toLocalIterator()]
-    if not some:
-        return m
-    some.sort(key=lambda x: (len(x), x.tobytes()))
-    size = np.array([len(x) for x in some])
-    flat, first = np.concatenate(some), np.cumsum(size) - size
+def pair_counts(tokens: DataFrame, which: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    """How often the column's symbol of ``which`` comes right after the row's, within all documents."""
+    k = len(which)
+    place = np.full(symbols, -1)
+    place[which] = np.arange(k)
+
+    def of(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        at = place[flat]
+        a, b = at[:-1], at[1:]
+        ok = (a >= 0) & (b >= 0)
+        ok[first[(size > 0) & (first > 0)] - 1] = False  # of two documents
+        return a[ok] * k + b[ok]
+
+    return _tally(tokens, k * k, of).reshape(k, k)
+
+
+def fit_pairs(n: np.ndarray, states: int = STATES, seed: int = 11, smooth: float = SMOOTH, tolerance: float = TOLERANCE) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expectation-maximisation of two states' shares and their symbols' from counts of pairs: log-likelihood a pair, emissions, shares (S x S)."""
+    m = initial(states, len(n), seed)
+    n, total = n.astype(np.float32), n.sum()
+    emit, both = m.emit.astype(np.float32), (m.start[:, None] * m.move).astype(np.float32)
     last, k = -np.inf, 0
     while True:
-        emit = np.zeros_like(m.emit)
-        start, move, ll = expected_counts(m, flat, first, size, emit, kind=np.float32)
-        m, gain, last, k = _renewed(start, move, emit, smooth), ll / len(flat) - last, ll / len(flat), k + 1
-        # a round costs little here, so training goes on for longer than over the whole corpus
-        if k > _PLATEAU and gain < tolerance / 4:
-            # what the sample lacks has the same probability in all states
-            return Model(m.start, m.move, (m.emit + unigram(tokens, symbols, smooth)[:, None]) / 2)
+        p = np.maximum((emit @ both) @ emit.T, np.float32(1e-30))
+        # the likelihood takes longer than an iteration
+        if k % 5 == 0:
+            ll = float((n * np.log(p)).sum(dtype=float) / total)
+            if k > _PLATEAU and not ll - last >= tolerance / 10:
+                return ll, emit.astype(float), both.astype(float)
+            last = ll
+        np.divide(n, p, out=p)
+        right, left = p @ emit, p.T @ emit
+        both, emit = both * (emit.T @ right) + np.float32(smooth), emit * (right @ both.T + left @ both) + np.float32(smooth)
+        both, emit, k = both / both.sum(), emit / emit.sum(0), k + 1
+
+
+def warm_start(tokens: DataFrame, states: int = STATES, symbols: int = SYMBOLS, smooth: float = SMOOTH, tolerance: float = TOLERANCE, paired: int = PAIRED) -> Model:
+    """The best of some models fitted to how often the ``paired`` most frequent symbols follow one another in the whole corpus."""
+    n = symbol_counts(tokens, symbols)
+    which = np.argsort(-n, kind="stable")[: min(paired, np.count_nonzero(n))]
+    if not len(which):
+        return initial(states, symbols)
+    share = (n + smooth) / (n + smooth).sum()
+    pairs = pair_counts(tokens, which, symbols)
+    if not pairs.any():
+        m = initial(states, symbols)
+        return Model(m.start, m.move, (m.emit + share[:, None]) / 2)
+    _, own, both = max((fit_pairs(pairs, states, seed, smooth, tolerance) for seed in range(_TRIES)), key=lambda x: x[0])
+    # symbols beyond the table have the same probability in all states
+    emit = np.repeat(share[:, None], states, axis=1)
+    emit[which] = own * share[which].sum()
+    start = both.sum(1)
+    return Model(start / start.sum(), both / both.sum(1, keepdims=True), 0.9 * emit + 0.1 * share[:, None])
 
 
 def train(tokens: DataFrame, rounds: int | None = None, states: int = STATES, symbols: int = SYMBOLS, smooth: float = SMOOTH, start: Model | None = None, tolerance: float = TOLERANCE) -> tuple[Model, list[float]]:
@@ -413,7 +475,7 @@ def train(tokens: DataFrame, rounds: int | None = None, states: int = STATES, sy
     only = tokens.select("symbols")
     tasks = only.rdd.getNumPartitions()
     while rounds is None or len(history) < rounds:
-        got = _summed(only.mapInArrow(_count(m), "block int, part int, v array<double>"), tasks)
+        got = _summed(only.mapInArrow(_count(m), _SENT), tasks)
         if -1 not in got:
             break
         head = got.pop(-1)

@@ -3,6 +3,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import hmm
 from quarry.llm.common import staged
@@ -145,3 +146,29 @@ def test_word_order_matters(spark):
     m, _ = hmm.train(tokens, states=3, symbols=256, start=hmm.warm_start(tokens, 3, 256))
     mean = lambda d: hmm.apply(hmm.corpus(d, v), m, counts, v).agg({"per_word": "avg"}).first()[0]
     assert mean(docs) > np.log(0.5) + 0.4 and mean(docs) > mean(shuffled) + 0.4
+
+
+def test_start_is_counted_over_the_whole_corpus(spark):
+    """Three million words: no text is left out of the start, whatever its hash, and partitions don't matter."""
+    texts = [" ".join([f"left{k}", f"right{k}"] * 64) for k in range(3)]
+    docs = spark.range(24000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 3 + 1).cast("int")).alias("text"))
+    v = hmm.vocabulary(hmm.word_counts(docs), 256, 100)
+    tokens = staged(hmm.corpus(docs, v), "symbols")
+    m = hmm.warm_start(tokens, 8, 256)
+    for row in tokens.where("doc_id < 3").collect():
+        s = np.array(row.symbols, np.int32)
+        # 1 / 6 if nothing of the order is known
+        assert hmm.likelihood(m, s, np.array([0]), np.array([len(s)]))[0] / len(s) > np.log(1 / 6) + 0.5
+    again = hmm.warm_start(tokens.repartition(7), 8, 256)
+    assert np.array_equal(m.emit, again.emit) and np.array_equal(m.move, again.move)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_pairs_are_those_within_documents(spark, parts):
+    r = np.random.default_rng(5)
+    seqs = [r.integers(0, 9, n).tolist() for n in (0, 5, 1, 40, 0, 0, 17, 2, 300, 0)]
+    tokens = spark.createDataFrame([(s,) for s in seqs], "symbols array<int>").repartition(parts)
+    which = np.array([7, 2, 3, 0])
+    want = np.array([[sum(list(p) == [a, b] for s in seqs for p in zip(s, s[1:])) for b in which] for a in which])
+    assert np.array_equal(hmm.pair_counts(tokens, which, 9), want)
+    assert np.array_equal(hmm.symbol_counts(tokens, 9), np.bincount(np.concatenate(seqs).astype(int), minlength=9))
